@@ -42,6 +42,8 @@ _SMALL = {lang: frozenset(w.split()) for lang, w in SMALL_WORDS.items()}
 _ONLY = {lang: w - frozenset().union(*(o for k, o in _SMALL.items() if k != lang)) for lang, w in _SMALL.items()}
 # Words that cannot end a sentence.
 DANGLING = frozenset("the a an of in on at by for with from to and or that which who because as is are was were its their than into o os um uma do da dos das no na em com por para e que é porque pelo pela de el los las un una del al y es por según la le su sin ou or nor if when while".split())
+# Syllables that a Korean sentence can end with.
+KOREAN_ENDS = frozenset("다요까죠임음함됨오라네지군나")
 # Labels before a repeated question.
 _LABEL = re.compile(r"^(q|question|pergunta|pregunta|질문|문)(?=.)")
 
@@ -119,7 +121,7 @@ def form(answer: str, question: str, title: str | None) -> tuple[str, bool]:
     out: list[str] = []
     tokens = re.findall(r"[^\W_]+|[^\w\s]", a)
     for i, w in enumerate(tokens):
-        partial = i == len(tokens) - 1 and not closed and len(w) > 1 and any(x.startswith(w) and x != w for x in asked)
+        partial = i == len(tokens) - 1 and not closed and any(x.startswith(w) and x != w for x in asked)
         mark = "#" if w[0].isdigit() else "◦" if w == "◦" or w in asked or partial else w
         if mark in "#◦" and out and out[-1] == mark:
             continue
@@ -151,6 +153,8 @@ def judge(answer: str | None, question: str | None, title: str | None, accepted:
         return "truncated", f, False, value
     if not closed and not value and _WORD.findall(norm(text))[-1] in DANGLING and not _HANGUL.search(text[-3:]):
         return "truncated", f, False, value
+    if not closed and not value and n_words >= 4 and mine == "ko" and norm(text)[-1] not in KOREAN_ENDS:
+        return "truncated", f, False, value
     return None, f, closed, value
 
 
