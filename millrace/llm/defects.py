@@ -106,11 +106,12 @@ def copies(answer: str, question: str) -> bool:
     return False
 
 
-def form(answer: str, question: str, title: str | None) -> tuple[str, bool]:
+def form(answer: str, question: str, title: str | None, whole_words: bool = False) -> tuple[str, bool]:
     """(the wording without what is particular to the question, whether it ends as a sentence does).
 
     The title, words of the question and numbers give way to marks, so that answers to different questions that are
-    worded alike become neighbours when sorted.
+    worded alike become neighbours when sorted. Unless `whole_words`, a last word cut short counts as the word of the
+    question that it begins.
     """
     a, q = norm(answer), norm(question)
     closed = bool(_END.search(a)) and not _CUT.search(a)
@@ -121,7 +122,7 @@ def form(answer: str, question: str, title: str | None) -> tuple[str, bool]:
     out: list[str] = []
     tokens = re.findall(r"[^\W_]+|[^\w\s]", a)
     for i, w in enumerate(tokens):
-        partial = i == len(tokens) - 1 and not closed and any(x.startswith(w) and x != w for x in asked)
+        partial = not whole_words and i == len(tokens) - 1 and not closed and any(x.startswith(w) and x != w for x in asked)
         mark = "#" if w[0].isdigit() else "◦" if w == "◦" or w in asked or partial else w
         if mark in "#◦" and out and out[-1] == mark:
             continue
@@ -210,27 +211,29 @@ def answer_defects(df: DataFrame, row_id: str, question: str, title: str, answer
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "field", "defect", "form", "closed", "value", "tokens")}
+            out: dict[str, list] = {k: [] for k in ("id", "field", "defect", "form", "plain", "closed", "value", "tokens")}
             data = b.to_pydict()
             for r in range(b.num_rows):
                 good = [x for x in (data["acc"][r] or []) if x]
                 for i, name in enumerate(names):
                     defect, f, closed, value = judge(data[f"a{i}"][r], data["q"][r], data["t"][r], good, data["im"][r])
-                    for k, v in zip(out, (data["id"][r], name, defect, f, closed, value, data[f"n{i}"][r])):
+                    plain = f if closed or not f else form(data[f"a{i}"][r], data["q"][r] or "", data["t"][r], True)[0]
+                    for k, v in zip(out, (data["id"][r], name, defect, f, plain, closed, value, data[f"n{i}"][r])):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], b["id"].type), pa.array(out["field"], pa.string()), pa.array(out["defect"], pa.string()), pa.array(out["form"], pa.string()), pa.array(out["closed"], pa.bool_()), pa.array(out["value"], pa.bool_()), pa.array(out["tokens"], pa.int64())],
+                [pa.array(out["id"], b["id"].type), pa.array(out["field"], pa.string()), pa.array(out["defect"], pa.string()), pa.array(out["form"], pa.string()), pa.array(out["plain"], pa.string()), pa.array(out["closed"], pa.bool_()), pa.array(out["value"], pa.bool_()), pa.array(out["tokens"], pa.int64())],
                 names=list(out),
             )
 
     kind = dict(df.dtypes)[row_id]
-    judged = materialise(df.select(*cols).mapInArrow(classify, f"id {kind}, field string, defect string, form string, closed boolean, value boolean, tokens bigint"), "answers")
-    forms = judged.where(F.col("form") != "").groupBy("form").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
+    judged = materialise(df.select(*cols).mapInArrow(classify, f"id {kind}, field string, defect string, form string, plain string, closed boolean, value boolean, tokens bigint"), "answers")
+    both = judged.where(F.col("form") != "").select(F.explode(F.array_distinct(F.array("form", "plain"))).alias("form"), "closed")
+    forms = both.groupBy("form").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
     short = shortened_forms(forms)
     if short.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
         short = F.broadcast(short)
     pending = judged.where(F.col("defect").isNull() & ~F.col("closed") & ~F.col("value") & (F.col("form") != ""))
-    cut = pending.join(short, "form", "left_semi")
+    cut = pending.select("id", "field", F.explode(F.array_distinct(F.array("form", "plain"))).alias("form")).join(short, "form", "left_semi")
     # a length limit: far more unfinished answers at a token count than at the counts around it
     finished = forms.where("n_closed > 0").select("form")
     unfinished = judged.where(~F.col("closed") & ~F.col("value") & (F.col("form") != "")).join(finished, "form", "left_anti")
