@@ -149,7 +149,7 @@ def judge(answer: str | None, question: str | None, title: str | None, accepted:
     if foreign:
         return "other_language", "", True, False
     f, closed = form(text, question, title)
-    value = n_words <= 5 and any(c.isdigit() for c in text) or n_words <= 2 or bare(text) in map(bare, accepted)
+    value = n_words <= 4 and any(c.isdigit() for c in text) or n_words <= 2 or bare(text) in map(bare, accepted)
     if _CUT.search(norm(text)):
         return "truncated", f, False, value
     if not closed and not value and _WORD.findall(norm(text))[-1] in DANGLING and not _HANGUL.search(text[-3:]):
