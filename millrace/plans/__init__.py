@@ -1 +1,5 @@
+"""Query catalogues: modules with QUERIES and SQL."""
 
+from millrace.plans import customers, metrics, training_data
+
+CATALOGUES = (customers, metrics, training_data)
