@@ -39,7 +39,8 @@ def classify_lines(lines: DataFrame, line: str, layout: Layout) -> DataFrame:
     reader took or refused is then classed by the strict rules; the first that applies is the reason:
     `quoting` (a double quote that neither encloses a whole field nor is doubled inside one, or isn't closed),
     `column_count` (an empty or NULL line has one field) and `invalid_value`. Line breaks and commas inside quotes
-    belong to the field. record is NULL for a faulty line. Everything is an expression on one row: no shuffle.
+    belong to the field. record is NULL for a faulty line. Columns of `lines` that are called record or reason are
+    replaced; all others are kept. Everything is an expression on one row: no shuffle.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in layout.fields] + [T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\u0001", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -50,10 +51,10 @@ def classify_lines(lines: DataFrame, line: str, layout: Layout) -> DataFrame:
     commas = F.length(text) - F.length(F.replace(text, F.lit(",")))
     count = F.when(quoted, F.regexp_count(text, F.lit(FIELD)) - F.when(text.rlike(r'(?s)[^,]\z'), 1).otherwise(0)).otherwise(commas + 1)
     read = F.from_csv(text, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
-    fields = F.struct(*[F.col("_read")[f].alias(f) for f in layout.fields])
+    fields = F.struct(*[F.col("__read")[f].alias(f) for f in layout.fields])
     bad = F.lit(False)
     for f, rule in layout.judged.items():
-        bad = bad | _bad(F.col("_read")[f], rule)
-    reason = F.when(misquoted, "quoting").when(F.col("_count") != len(layout.fields), "column_count").when(F.col("_read._corrupt").isNotNull() | bad, "invalid_value")
-    classed = lines.withColumns({"_read": read, "_count": count}).withColumn("reason", reason)
-    return classed.withColumn("record", F.when(F.col("reason").isNull(), fields)).drop("_read", "_count")
+        bad = bad | _bad(F.col("__read")[f], rule)
+    reason = F.when(misquoted, "quoting").when(F.col("__count") != len(layout.fields), "column_count").when(F.col("__read._corrupt").isNotNull() | bad, "invalid_value")
+    classed = lines.withColumns({"__read": read, "__count": count}).withColumn("reason", reason)
+    return classed.withColumn("record", F.when(F.col("reason").isNull(), fields)).drop("__read", "__count")
