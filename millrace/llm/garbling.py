@@ -47,7 +47,7 @@ def cost(ch: str) -> float:
             return 1.5
     if not unicodedata.category(ch).startswith("L"):
         return 1.0
-    if 0xC0 <= o < 0x100 or 0x370 <= o < 0x530:
+    if 0xC0 <= o < 0x100 or 0x391 <= o < 0x3CA or 0x410 <= o < 0x450:
         return 0.5
     return 0.7 if o < 0x180 else 1.5 if o < 0x370 else 1.0
 
@@ -86,8 +86,8 @@ def undo_utf8(run: str, layers: int = LAYERS) -> tuple[str, tuple[str, ...]] | N
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if text == run:
-            continue
+        if text == run or len(text) == 1 and ord(text) < 0x800 and not 0xA0 <= ord(text) < 0x180:
+            continue  # a dash before a capital may happen to read as one letter of another alphabet
         found = (text, (e,))
         if layers > 1 and not text.isascii() and (deeper := undo_utf8(text, layers - 1)):
             found = (deeper[0], (*deeper[1], e))
@@ -206,9 +206,12 @@ def undo_latin(text: str) -> tuple[str, str] | None:
 
     def turn(m: re.Match) -> str:
         w = m.group()
-        if w in fixed:
-            return fixed[w]
-        return w
+        if w in fixed or w.isascii() or w.isalpha():
+            return fixed.get(w, w)
+        # a symbol at the end of a word that turns into a letter
+        raw = to_bytes(w, e)
+        back = raw.decode("cp1252", "replace") if raw else w
+        return back if back.isalpha() else w
 
     return _WORD.sub(turn, text), e
 
@@ -241,6 +244,8 @@ def repair(text: str | None) -> tuple[str, list[str], bool] | None:
     if not strong and korean and sum(0xAC00 <= ord(c) < 0xD7A4 for c in text) >= 10:
         # within Korean text a pair on its own is enough, unless it stands in a Latin word
         strong = [korean[a][1] for a, b, run in runs if a in korean and len(set(run)) > 1 and not _letter(text[a - 1 : a]) and not _letter(text[b : b + 1])]
+    if strong and sum(b - a for a, b, run in runs if undo_utf8(run)) >= sum(b - a for a, b, _ in runs if a in korean):
+        strong = []  # every character that speaks for Korean speaks for UTF-8 as well
     if strong:
         how.setdefault(f"euc_kr as {strong[0]}")
     for a, b, run in runs:
