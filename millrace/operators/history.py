@@ -18,41 +18,50 @@ def counting_snapshots(rows: DataFrame, group: list[str], day: Column, snapshot:
     return days.select(*group, "day", snapshot, F.row_number().over(by_day).alias("seq"), F.lead("day").over(by_day).alias("next_day"))
 
 
-def attribute_log(stated: DataFrame, fact: list[str], attributes: list[str]) -> DataFrame:
-    """(fact, attribute, start, stop, value, present): each attribute's own intervals of snapshots, [start, stop).
+def attribute_log(rows: Column, attribute: str, kind: str) -> Column:
+    """An attribute's own intervals of snapshots, array<struct<start,stop,value>> of half-open [start, stop).
 
-    `stated` has one row per fact and snapshot: fact columns, seq and the attributes. An interval ends where the
-    attribute changes (NULL equals NULL) or where a snapshot leaves out the fact.
+    `rows` is a fact's array of statements, sorted by seq. An interval ends where the attribute changes (NULL equals
+    NULL) or where a snapshot leaves out the fact.
     """
-    one = lambda a: F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value"))
-    long = stated.select(*fact, "seq", F.explode(F.array(*map(one, attributes))).alias("x")).select(*fact, "seq", "x.*")
-    w = Window.partitionBy(*fact, "attribute").orderBy("seq")
-    new = F.lag("seq").over(w).isNull() | (F.lag("seq").over(w) != F.col("seq") - 1) | ~F.lag("value").over(w).eqNullSafe(F.col("value"))
-    runs = long.withColumn("_run", F.sum(new.cast("int")).over(w))
-    return runs.groupBy(*fact, "attribute", "_run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("stop"), F.first("value").alias("value")).drop("_run")
+    typed = f"array<struct<start:int,stop:int,value:{kind}>>"
 
+    def step(log: Column, r: Column) -> Column:
+        last = F.try_element_at(log, F.lit(-1))
+        goes_on = F.coalesce(last["stop"] == r["seq"], F.lit(False)) & last["value"].eqNullSafe(r[attribute])
+        start = F.when(goes_on, last["start"]).otherwise(r["seq"])
+        kept = F.when(goes_on, F.slice(log, 1, F.size(log) - 1)).otherwise(log)
+        return F.concat(kept, F.array(F.struct(start.alias("start"), (r["seq"] + 1).alias("stop"), r[attribute].alias("value")))).cast(typed)
 
-def combine(log: DataFrame, fact: list[str], attributes: list[str]) -> DataFrame:
-    """(fact, start, stop, one column per attribute): attribute intervals split at the union of their boundaries.
+    return F.aggregate(rows, F.expr(f"cast(array() as {typed})"), step)
 
-    Neighbouring pieces with equal content are one version. Works on each fact's boundaries, which number at most
-    twice its snapshots, all on one partitioning by fact.
+
+def combine(logs: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """The versions that the attributes' intervals make together, array<struct<start,stop,attributes...>>.
+
+    The intervals are split at the union of their boundaries; neighbouring pieces with equal content are one.
     """
-    kind = "array<struct<start:int,stop:int,value:string>>"
-    part = lambda a: F.filter(F.col("_log"), lambda e: e["attribute"] == a)
-    grouped = log.groupBy(*fact).agg(F.collect_list(F.struct("attribute", "start", "stop", "value")).alias("_log"))
-    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("_log", lambda e: F.array(e["start"], e["stop"])))))
-    grouped = grouped.withColumn("_cuts", cuts).withColumns({f"_at_{a}": part(a).alias(a) for a in attributes})
-    pieces = grouped.select(*fact, *[f"_at_{a}" for a in attributes], "_cuts", F.posexplode(F.slice("_cuts", 1, F.size("_cuts") - 1)).alias("_i", "start"))
-    pieces = pieces.withColumn("stop", F.element_at("_cuts", F.col("_i") + 2))
-    at = lambda a: F.try_element_at(F.filter(F.col(f"_at_{a}"), lambda e: (e["start"] <= F.col("start")) & (F.col("start") < e["stop"])), F.lit(1))
-    pieces = pieces.select(*fact, "start", "stop", *[at(a).alias(a) for a in attributes])
-    stated = reduce(lambda x, y: x | y, [F.col(a).isNotNull() for a in attributes])
-    pieces = pieces.where(stated).select(*fact, "start", "stop", *[F.col(a)["value"].alias(a) for a in attributes])
-    w = Window.partitionBy(*fact).orderBy("start")
-    same = (F.lag("stop").over(w) == F.col("start")) & reduce(lambda x, y: x & y, [F.lag(a).over(w).eqNullSafe(F.col(a)) for a in attributes])
-    runs = pieces.withColumn("_v", F.sum(F.when(same, 0).otherwise(1)).over(w))
-    return runs.groupBy(*fact, "_v").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *[F.first(a).alias(a) for a in attributes]).drop("_v")
+    ends = lambda log: F.concat(F.transform(log, lambda e: e["start"]), F.transform(log, lambda e: e["stop"]))
+    cuts = F.array_sort(F.array_distinct(F.concat(*[ends(log) for log in logs.values()])))
+    at = lambda log, i: F.try_element_at(F.filter(log, lambda e: (e["start"] <= i) & (i < e["stop"])), F.lit(1))
+
+    def piece(pair: Column) -> Column:
+        held = {a: at(log, pair["start"]) for a, log in logs.items()}
+        stated = reduce(lambda x, y: x | y, [h.isNotNull() for h in held.values()])
+        return F.struct(pair["start"].alias("start"), pair["stop"].alias("stop"), stated.alias("stated"), *[h["value"].alias(a) for a, h in held.items()])
+
+    pairs = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.struct(c.alias("start"), F.element_at(cuts, i + 2).alias("stop")))
+    pieces = F.filter(F.transform(pairs, piece), lambda x: x["stated"])
+    typed = "array<struct<start:int,stop:int," + ",".join(f"{a}:{k}" for a, k in kinds.items()) + ">>"
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        same = F.coalesce(last["stop"] == x["start"], F.lit(False)) & reduce(lambda p, q: p & q, [last[a].eqNullSafe(x[a]) for a in logs])
+        start = F.when(same, last["start"]).otherwise(x["start"])
+        kept = F.when(same, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.concat(kept, F.array(F.struct(start.alias("start"), x["stop"].alias("stop"), *[x[a].alias(a) for a in logs]))).cast(typed)
+
+    return F.aggregate(pieces, F.expr(f"cast(array() as {typed})"), step)
 
 
 def history(rows: DataFrame, group: list[str], fact: list[str], snapshot: str, day: Column, attributes: list[str], row_id: str) -> DataFrame:
@@ -64,25 +73,25 @@ def history(rows: DataFrame, group: list[str], fact: list[str], snapshot: str, d
     where one snapshot states two contents of a fact, that of the smallest row_id stands. `fact` may hold NULLs,
     which name a fact like any value. Rows without a snapshot or day state nothing.
 
-    Rows are joined to the few snapshots of their group; each fact then has at most one row per day, however often
-    a key is repeated.
+    Statements are reduced to one per fact and day before they meet the snapshots of their group; a fact's statements
+    then make one array of at most as many entries as days, on which each attribute's change log is built and the
+    logs are combined: one shuffle by fact, however often a key is repeated.
     """
-    own = [f"_g{i}" for i in range(len(group))] + [f"_f{i}" for i in range(len(fact))]
+    kinds = dict(rows.dtypes)
     names = [*group, *fact]
-    g, f = own[: len(group)], own
-    src = rows.select(*[F.col(c).alias(o) for c, o in zip(names, own)], F.col(snapshot).alias("_snap"), day.alias("_day"), F.col(row_id).alias("_id"), *[F.col(a).alias(f"_a{i}") for i, a in enumerate(attributes)])
+    f = [f"_f{i}" for i in range(len(names))]
+    g = f[: len(group)]
+    attrs = {f"a{i}": kinds[a] for i, a in enumerate(attributes)}
+    src = rows.select(*[F.col(c).alias(o) for c, o in zip(names, f)], F.col(snapshot).alias("_snap"), day.alias("_day"), F.col(row_id).alias("_id"), *[F.col(c).alias(a) for c, a in zip(attributes, attrs)])
     src = src.where(F.col("_snap").isNotNull() & F.col("_day").isNotNull())
     marks = counting_snapshots(src, g, F.col("_day"), "_snap")
-    attrs = [f"_a{i}" for i in range(len(attributes))]
-    # repeated statements shrink before the join
     stated = src.groupBy(*f, "_day", "_snap").agg(F.min(F.struct("_id", *attrs)).alias("s"))
     on = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in g]) & (F.col("l._day") == F.col("r.day")) & (F.col("l._snap") == F.col("r._snap"))
-    stated = stated.alias("l").join(marks.alias("r"), on).select(*[F.col(f"l.{c}") for c in f], "l._snap", "r.day", "r.seq", "r.next_day", "s.*")
-    versions = combine(attribute_log(stated, f, attrs), f, attrs)
-    both = reduce(lambda x, y: x & y, [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in f])
-    opened = versions.alias("v").join(stated.alias("s"), both & (F.col("v.start") == F.col("s.seq")))
-    out = opened.select(*[F.col(f"v.{c}") for c in f], *[F.col(f"s.{a}") for a in attrs], F.col("s._id").alias("_id"), F.col("s._snap").alias("_snap"), F.col("s.day").alias("valid_from"), F.col("v.stop").alias("stop"))
-    ends = marks.select(*[F.col(c).alias(f"m{c}") for c in g], F.col("seq").alias("_seq"), F.col("day").alias("valid_to"))
-    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m{c}")) for c in g]) & (F.col("stop") == F.col("_seq"))
-    out = out.join(ends, on, "left")
-    return out.select(*[F.col(o).alias(c) for c, o in zip(names, own)], *[F.col(a).alias(c) for a, c in zip(attrs, attributes)], F.col("_id").alias(row_id), F.col("_snap").alias(snapshot), "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+    met = stated.alias("l").join(marks.alias("r"), on).select(*[F.col(f"l.{c}") for c in f], F.struct("r.seq", "r.day", "r.next_day", F.col("l._snap").alias("snap"), F.col("s._id").alias("id"), *[F.col(f"s.{a}").alias(a) for a in attrs]).alias("x"))
+    facts = met.groupBy(*f).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    facts = facts.withColumns({f"_log_{a}": attribute_log(F.col("x"), a, k) for a, k in attrs.items()})
+    facts = facts.withColumn("_v", combine({a: F.col(f"_log_{a}") for a in attrs}, attrs))
+    versions = facts.select(*f, "x", F.explode("_v").alias("v"))
+    row = lambda seq: F.element_at(F.filter("x", lambda r: r["seq"] == seq), 1)
+    out = versions.select(*f, "v", row(F.col("v.start")).alias("o"), row(F.col("v.stop") - 1)["next_day"].alias("valid_to"))
+    return out.select(*[F.col(o).alias(c) for c, o in zip(names, f)], *[F.col(f"v.{a}").alias(c) for a, c in zip(attrs, attributes)], F.col("o.id").alias(row_id), F.col("o.snap").alias(snapshot), F.col("o.day").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"))
