@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import materialise
+from millrace.session import materialise, spread
 
 #: Shortened forms up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_FORMS = 200_000
@@ -226,7 +226,7 @@ def answer_defects(df: DataFrame, row_id: str, question: str, title: str, answer
             )
 
     kind = dict(df.dtypes)[row_id]
-    judged = materialise(df.select(*cols).mapInArrow(classify, f"id {kind}, field string, defect string, form string, plain string, closed boolean, value boolean, tokens bigint"), "answers")
+    judged = materialise(spread(df.select(*cols)).mapInArrow(classify, f"id {kind}, field string, defect string, form string, plain string, closed boolean, value boolean, tokens bigint"), "answers")
     both = judged.where(F.col("form") != "").select(F.explode(F.array_distinct(F.array("form", "plain"))).alias("form"), "closed")
     forms = both.groupBy("form").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
     short = shortened_forms(forms)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 # Encodings that UTF-8 bytes are taken for by mistake, the usual ones first.
 TAKEN_FOR_UTF8 = ("cp1252", "latin_1", "cp949", "cp1251", "cp850", "mac_roman", "cp437", "cp1250", "cp1253", "cp1254", "iso8859_2", "iso8859_15", "cp852", "cp866", "koi8_r", "gbk", "big5", "cp932")
 # Encodings that the bytes of Western European text are taken for.
@@ -289,7 +291,7 @@ def repair_texts(df: DataFrame, row_id: str, text: str) -> DataFrame:
     text could only be restored in part. NULL, empty and ASCII texts are never garbled. Texts are judged one by one
     and whole: no shuffle; ASCII texts don't leave the JVM. Repeated rows give repeated results.
     """
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = spread(df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

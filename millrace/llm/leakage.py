@@ -12,20 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import work_dir
+from millrace.session import spread, work_dir
 
 #: Evaluation items whose index is broadcast at once; more are taken in blocks of so many.
 BLOCK_ITEMS = 20_000
 MIN_RUN = 5
 REPETITIONS = 2
 DOCS_AT_ONCE = 500
-SAMPLE = 6
+SAMPLE = 8
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,500}>|<!--.*?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\r?\n[ \t]*(?=\w)")
-_NO_SIGN = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) == "Cf"}
-_SPACES = {c: " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp")}
+_SIGNS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Cf") + "]")
 
 
 def words(text: str | None) -> list[str]:
@@ -37,7 +36,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_NO_SIGN))
+        text = unicodedata.normalize("NFKC", _SIGNS.sub("", text))
     if "\n" in text:
         text = _BROKEN.sub("", text)
     return _WORD.findall(text.casefold())
@@ -74,6 +73,15 @@ class WalkHash:
         return out
 
 
+def window_sums(ids: np.ndarray) -> np.ndarray:
+    """A number for each window of MIN_RUN word numbers, the same for equal windows."""
+    padded = np.concatenate([ids, np.full(MIN_RUN, -1)]).astype(np.uint64)
+    out = np.zeros(len(ids), np.uint64)
+    for k in range(MIN_RUN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + len(ids)]
+    return out
+
+
 class ItemIndex:
     """Vocabulary, word numbers and window keys of a bounded block of evaluation items."""
 
@@ -93,46 +101,64 @@ class ItemIndex:
         item = np.repeat(np.arange(len(lengths)), np.maximum(lengths - MIN_RUN + 1, 0))
         within = np.arange(len(item)) - np.repeat(np.cumsum(np.maximum(lengths - MIN_RUN + 1, 0)) - np.maximum(lengths - MIN_RUN + 1, 0), np.maximum(lengths - MIN_RUN + 1, 0))
         keys = self.hash.keys(flat, start[item] + within) if len(item) else np.zeros((REPETITIONS, 0), np.uint64)
+        sums = window_sums(flat)[start[item] + within] if len(item) else np.zeros(0, np.uint64)
         self.tables = []
         for r in range(len(keys)):
             order = np.argsort(keys[r], kind="stable")
-            self.tables.append((keys[r][order], item[order], within[order]))
+            self.tables.append((keys[r][order], item[order], within[order], sums[order]))
 
-    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(document, item, pairs of places in item and document) of windows that share a key.
+    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(document, item) where windows that share keys could cover half of the item.
 
-        The documents are word numbers, -1 for a word of no item. They are hashed together; pairs too few to cover
-        half an item are left out.
+        The documents are word numbers, -1 for a word of no item. They are hashed together. A key counts once per
+        document, however often a common phrase is repeated in it.
         """
         gap = np.full(MIN_RUN, -1, np.int64)
         starts = np.cumsum([0, *(len(d) + MIN_RUN for d in docs)])
         flat = np.concatenate([x for d in docs for x in (d, gap)]) if docs else np.zeros(0, np.int64)
-        if len(flat) < MIN_RUN:
+        if len(flat) < MIN_RUN or not self.words:
             return
         at = np.flatnonzero(np.convolve(flat >= 0, np.ones(MIN_RUN, np.int64), "valid") >= MIN_RUN - 1)
+        doc = np.searchsorted(starts, at, "right") - 1
+        span = max(map(len, self.words)) + 1
         found = []
-        for keys, (table, item, within) in zip(self.hash.keys(flat, at), self.tables):
+        sums = window_sums(flat)[at]
+        for keys, (table, item, within, own) in zip(self.hash.keys(flat, at), self.tables):
             low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-            n = high - low
-            hit = np.repeat(np.arange(len(at)), n)
-            j = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[hit]
-            found.append(np.stack([item[j], within[j], at[hit]]))
-        item, within, place = np.unique(np.concatenate(found, axis=1), axis=1) if len(at) else np.zeros((3, 0), np.int64)
-        doc = np.searchsorted(starts, place, "right") - 1
-        order = np.lexsort((within, place, item, doc))
-        item, within, place, doc = item[order], within[order], place[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
-            k, d = int(item[a]), int(doc[a])
-            if 2 * MIN_RUN * (b - a) >= len(self.words[k]):
-                yield d, k, list(zip(within[a:b].tolist(), (place[a:b] - starts[d]).tolist()))
-
-
-def exact_runs(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(place in document, place in item, length) of the unbroken runs of at least MIN_RUN words behind candidate windows."""
+            hit = high > low
+            order = np.lexsort((sums[hit], low[hit], doc[hit]))
+            d, low, code = doc[hit][order], low[hit][order], sums[hit][order]
+            once = np.ones(len(d), bool)
+            once[1:] = (d[1:] != d[:-1]) | (low[1:] != low[:-1]) | (code[1:] != code[:-1])
+            d, low, code = d[once], low[once], code[once]
+            n = np.searchsorted(table, table[low], "right") - low
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            same = own[j] == np.repeat(code, n)  # the words themselves: keys leave some out
+            d, j = np.repeat(d, n)[same], j[same]
+            found.append((d * len(self.words) + item[j]) * span + within[j])
+        windows = np.unique(np.concatenate(found))
+        if not len(windows):
+            return
+        pair, within = windows // span, windows % span
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        step = np.full(len(pair), MIN_RUN)
+        step[:-1] = np.where(pair[1:] == pair[:-1], np.minimum(within[1:] - within[:-1], MIN_RUN), MIN_RUN)
+        covered = np.add.reduceat(step, first)
+        lengths = np.array([len(w) for w in self.words])
+        for p in pair[first][2 * covered >= lengths[pair[first] % len(self.words)]].tolist():
+            yield divmod(p, len(self.words))
+
+
+def exact_runs(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in document, place in item, length) of the unbroken runs of at least MIN_RUN words that both share."""
+    windows: dict[tuple, list[int]] = {}
+    own = item.tolist()
+    for i in range(len(own) - MIN_RUN + 1):
+        windows.setdefault(tuple(own[i : i + MIN_RUN]), []).append(i)
+    text = doc.tolist()
     diagonals: dict[int, list[int]] = {}
-    for i, j in pairs:
-        if np.array_equal(item[i : i + MIN_RUN], doc[j : j + MIN_RUN]):
+    for j in np.flatnonzero(np.isin(doc, item)).tolist():
+        for i in windows.get(tuple(text[j : j + MIN_RUN]), ()):
             diagonals.setdefault(j - i, []).append(i)
     runs = []
     for d, starts in diagonals.items():
@@ -175,14 +201,9 @@ def leaks(index: ItemIndex, texts: list[str | None], near: int) -> list[tuple[in
     get = index.vocab.get
     docs = [np.array([get(x, -1) for x in words(t)], np.int64) for t in texts]
     out = []
-    for d, k, pairs in index.candidates(docs):
+    for d, k in index.candidates(docs):
         item = index.words[k]
-        seen = np.zeros(len(item), bool)
-        for i in {i for i, _ in pairs}:
-            seen[i : i + MIN_RUN] = True
-        if 2 * int(seen.sum()) < len(item):
-            continue
-        covered = best_chain(exact_runs(item, docs[d], pairs), near, len(item))
+        covered = best_chain(exact_runs(item, docs[d]), near, len(item))
         if 2 * covered >= len(item):
             out.append((d, k, covered, len(item)))
     return out
@@ -205,7 +226,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     spark = docs.sparkSession
     work_dir(spark)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     asked = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
     parts = []

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -33,4 +35,4 @@ def count_tokens(df: DataFrame, row_id: str, text: str, path: str = TOKENIZER) -
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int64())], names=["id", "n_tokens"])
 
-    return df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(count, f"id {dict(df.dtypes)[row_id]}, n_tokens bigint").withColumnRenamed("id", row_id)
+    return spread(df.select(F.col(row_id).alias("id"), F.col(text).alias("text"))).mapInArrow(count, f"id {dict(df.dtypes)[row_id]}, n_tokens bigint").withColumnRenamed("id", row_id)
