@@ -70,7 +70,7 @@ def intermittency(s, d):
 
 def _prices(s: SparkSession, d: str) -> DataFrame:
     l = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    panel = l.groupBy(F.trunc("l_shipdate", "month").alias("date"), F.col("p_brand").alias("symbol")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("close"))
+    panel = l.groupBy(F.trunc("l_shipdate", "month").alias("date"), F.col("p_brand").alias("symbol")).agg((F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity") * 10_000 + 0.5) / 10_000).alias("close"))
     return P.filled(panel)
 
 
@@ -148,7 +148,7 @@ j AS (SELECT coalesce(n.corp_code, o.corp_code) AS corp_code, coalesce(n.report_
   FROM o FULL JOIN n ON o.corp_code = n.corp_code AND o.report_year = n.report_year AND o.report_code = n.report_code AND o.concept = n.concept AND o.context_key = n.context_key AND o.unit = n.unit)"""
 _DAILY = """n AS (SELECT user_id AS entity, CAST(ts AS date) AS day, count(*) AS qty FROM events GROUP BY 1, 2),
 p AS (SELECT e.entity, CAST(g.day AS date) AS day, coalesce(qty, 0) AS qty FROM (SELECT DISTINCT entity FROM n) e CROSS JOIN (SELECT unnest(generate_series((SELECT min(day) FROM n), (SELECT max(day) FROM n), INTERVAL 1 DAY)) AS day) g LEFT JOIN n ON n.entity = e.entity AND n.day = g.day)"""
-_PRICES = """q AS (SELECT CAST(date_trunc('month', l_shipdate) AS date) AS date, p_brand AS symbol, round(avg(l_extendedprice / l_quantity), 4) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+_PRICES = """q AS (SELECT CAST(date_trunc('month', l_shipdate) AS date) AS date, p_brand AS symbol, floor(CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS double) / sum(l_quantity) * 10000 + 0.5) / 10000 AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 sess AS (SELECT date, row_number() OVER (ORDER BY date) AS session FROM (SELECT DISTINCT date FROM q)),
 grid AS (SELECT symbol, s.session FROM (SELECT symbol, min(session) AS f FROM q JOIN sess USING (date) GROUP BY 1) x JOIN sess s ON s.session >= x.f),
 prices AS (SELECT g.symbol, g.session, q.close AS raw, last_value(q.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.session ROWS UNBOUNDED PRECEDING) AS close FROM grid g JOIN sess USING (session) LEFT JOIN q ON q.symbol = g.symbol AND q.date = sess.date),
