@@ -95,16 +95,34 @@ def equal_count_curve(df: DataFrame, y: str, p: str, key: list[str], bins: int)
     return tiled.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("mean_y"))
 
 
+def quantiles_of(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation, NULL and NaN left out.
+
+    Counts of distinct values, ordered by column and value in one distributed pass; a quantile's two neighbours are
+    the first values whose running count passes their places.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("x")
+    long = df.select(cells).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    cum = with_running_sums(counts, [F.col("k").asc(), F.col("v").asc()], {"c": F.col("n")})
+    ends = {r["k"]: r["c"] for r in cum.groupBy("k").agg(F.max("c").alias("c")).collect()}  # one row per column
+    places, before = {}, 0
+    for k in sorted(ends):
+        places[k] = [before + (ends[k] - before - 1) * q for q in probs]
+        before = ends[k]
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    if not places:
+        return out
+    picks = cum.agg(*[F.min(F.when((F.col("k") == k) & (F.col("c") > at), F.col("v"))) for k, hs in places.items() for h in hs for at in (math.floor(h), math.ceil(h))]).first()
+    it = iter(picks)
+    for k, hs in places.items():
+        out[cols[k]] = [lo + (next(it) - lo) * (h - math.floor(h)) for h in hs for lo in (next(it),)]
+    return out
+
+
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, from counts of distinct values and distributed running sums."""
-    counts = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cum = with_running_sums(counts, [F.col("v").asc()], {"c": F.col("n")})
-    total = cum.agg(F.max("c")).first()[0]
-    if not total:
-        return [None] * len(probs)
-    at = [(total - 1) * q for q in probs]
-    picks = cum.agg(*[F.min(F.when(F.col("c") > k, F.col("v"))) for h in at for k in (math.floor(h), math.ceil(h))]).first()
-    return [picks[2 * i] + (picks[2 * i + 1] - picks[2 * i]) * (h - math.floor(h)) for i, h in enumerate(at)]
+    """Exact quantiles of one column."""
+    return quantiles_of(df, [col], probs)[col]
 
 
 def bin_of(x: Column, edges: list[float], right: bool) -> Column:
@@ -130,12 +148,13 @@ def psi(df: DataFrame, features: list[str], reference: Column, right: bool, miss
     """
     parts = []
     ref = df.where(reference)
+    cuts = quantiles_of(ref, features, [i / bins for i in range(bins + 1)])
     for f in features:
         distinct = ref.select(f).where(F.col(f).isNotNull()).distinct().limit(11).count() if missing else 11
         if distinct <= 10:
             label = F.col(f).cast("double").cast("string")
         else:
-            edges = sorted({e for e in quantiles(ref, f, [i / bins for i in range(bins + 1)]) if e is not None})
+            edges = sorted({e for e in cuts[f] if e is not None})
             label = bin_of(F.col(f).cast("double"), edges[1:-1], right).cast("string")
         rows = df.select(F.lit(f).alias("feature"), F.when(F.col(f).isNotNull(), label).otherwise("missing").alias("bin"), reference.alias("_ref"))
         parts.append(rows if missing else rows.where(F.col("bin") != "missing"))
