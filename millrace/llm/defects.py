@@ -163,24 +163,31 @@ def shortened_forms(forms: DataFrame) -> DataFrame:
     """(form): forms never seen closed of which a longer form, seen closed, is a continuation.
 
     `forms` has one row per form, with n_closed. They are sorted in ranges and compared with their neighbours: what
-    begins with a form follows it at once. A range hands on to the one before it only its first form, so no task
-    sees more than its range.
+    begins with a form follows it at once. A range takes over from those before it the open forms that its own first
+    form continues, so no task sees more than its range and the result does not depend on where ranges are cut.
     """
     spark = forms.sparkSession
     placed = forms.repartitionByRange("form").sortWithinPartitions("form").withColumn("part", F.spark_partition_id())
     kept = materialise(placed, "forms")
-    heads = kept.groupBy("part").agg(F.min_by("n_closed", "form").alias("n_closed"), F.min("form").alias("form")).orderBy("part").collect()
-    nexts = {a["part"]: (b["form"], b["n_closed"]) for a, b in zip(heads, heads[1:])}
-    shared = spark.sparkContext.broadcast(nexts)  # one row per range
+    heads = kept.groupBy("part").agg(F.min("form").alias("form")).orderBy("part").collect()
+    carried: dict[int, tuple[str, list[int]]] = {}  # by range: its first form, lengths of the open forms before it that this continues
+    if len(heads) > 1:
+        ends = spark.createDataFrame([(a["part"], b["form"]) for a, b in zip(heads, heads[1:])], "part int, next string")
+        still = kept.where("n_closed = 0").join(F.broadcast(ends), "part").where(F.col("next").startswith(F.col("form")))
+        opened = {r["part"]: r["lengths"] for r in still.groupBy("part").agg(F.sort_array(F.collect_list(F.length("form"))).alias("lengths")).collect()}
+        first, lengths = "", []
+        for a, b in zip(heads, heads[1:]):
+            lengths = [n for n in lengths if b["form"].startswith(first[:n])] + opened.get(a["part"], [])
+            first = b["form"]
+            carried[b["part"]] = (first, lengths)
+    shared = spark.sparkContext.broadcast(carried)  # one row per range
 
     def neighbours(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("form")
-        rows = list(zip(table["form"].to_pylist(), table["n_closed"].to_pylist()))
-        if (after := shared.value.get(key[0].as_py())) is not None:
-            rows.append(after)
         out: set[str] = set()
-        open_: list[str] = []
-        for f, n in rows:
+        first, lengths = shared.value.get(key[0].as_py(), ("", []))
+        open_ = [first[:n] for n in lengths]
+        for f, n in zip(table["form"].to_pylist(), table["n_closed"].to_pylist()):
             while open_ and not f.startswith(open_[-1]):
                 open_.pop()
             if n:

@@ -111,6 +111,22 @@ def test_shortened_forms_over_ranges(spark):
     assert {r.form for r in shortened_forms(df).collect()} == {"a", "a b", "b", "e 0"}
 
 
+def test_shortened_forms_where_ranges_cut(spark):
+    """Ranges of one form each and of several: the stack of open forms goes on over any number of them."""
+    forms = [("the x", 0), ("the x is", 0), ("the x is red", 1), ("the x or", 0), ("the y", 0), ("the y 1", 0), ("the y 12", 0), ("the y 123", 0), ("the y 123 é", 2), ("the z", 0), ("the zz", 0)]
+    want = {"the x", "the x is", "the y", "the y 1", "the y 12", "the y 123"}
+    df = spark.createDataFrame(forms, "form string, n_closed bigint")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 2, 3, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.form for r in shortened_forms(df).collect()} == want, n
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_length_limit(spark):
     """Unfinished answers, none a beginning of another, that pile up at one token count."""
     rows = [(f"u{i}", Q, None, False, ["1"], f"zz{i} yy{i} xx{i} ww{i} vv{i}", 24, "1", 1) for i in range(30)] + [("other", Q, None, False, ["1"], "some odd words stand here alone", 9, "1", 1)]
