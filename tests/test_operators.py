@@ -18,6 +18,7 @@ from millrace.operators import sequential as Q
 from millrace.operators import splits as S
 from millrace.operators import temporal as T
 from millrace.operators.models import check_routes
+from millrace.plans import retrieval
 from millrace.operators.ordered import ntile, with_row_number, with_running_sums
 from millrace.operators.policy import segments
 from millrace.operators.retrieval import chunks, rrf, run_metrics
@@ -202,3 +203,13 @@ def test_splits_and_routes(spark):
     stops = spark.createDataFrame([(1, 1, 3.0, 4.0, 1.0, 10.0, 20.0, 2.0), (1, 2, 3.0, 8.0, 1.0, 0.0, 15.0, 0.0)], "route int, stop_no int, x double, y double, demand double, ready double, due double, service double")
     r = check_routes(stops, 1.0, 5.0).first()
     assert (r.load, r.lateness, r.finish, r.feasible) == (2.0, 1.0, 16.0, False)
+
+
+def test_all_items_are_asked(spark, tmp_path):
+    """Items of every language and suite find their document, by documents and by chunks."""
+    items = [(1, "delivery fee", "en", "claims_test"), (2, "taxa da entrega", "pt", "claims_test"), (3, "tasa 12 euros", "es", "passages"), (4, "word problem", "en", "problems"), (5, "unasked", None, None)]
+    docs = [(10, "the delivery fee"), (20, "a taxa da entrega"), (30, "tasa 12 euros"), (40, "one word problem"), (50, "unasked")]
+    spark.createDataFrame(items, "item_id bigint, item_text string, lang string, suite string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for f in (retrieval.bm25_run_all, retrieval.parent_collapse_all):
+        assert {(r.qid, r.doc) for r in f(spark, str(tmp_path)).where("place = 1").collect()} == {(i, 10 * i) for i in range(1, 6)}
