@@ -57,13 +57,25 @@ def off_policy(log: DataFrame, position: str, reward: str, propensity: str, targ
 
 
 def cooccurrence(baskets: DataFrame, basket: str, item: str, most: int) -> DataFrame:
-    """(a, b, n) of item pairs a < b that share baskets, over distinct items of baskets of 2 to `most` items.
+    """(a, b, n) of item pairs a < b that share baskets, over the distinct items of all baskets.
 
-    A basket's pairs grow with the square of its items; larger baskets tell little and are counted by `oversized`.
+    A basket's pairs grow with the square of its items. One of up to `most` items is paired in its row; the items of
+    a larger one are dealt into blocks of about `most`, and each pair of blocks is a row of its own, so that no task
+    holds or pairs a large basket alone.
     """
-    b = baskets.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(basket).alias("k")).agg(F.array_sort(F.collect_set(item)).alias("s")).where(F.size("s").between(2, most))
+    once = baskets.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("k"), F.col(item).alias("x")).distinct()
+    wide = once.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most)
+    sized = once.join(wide, "k", "left")
+    b = sized.where(F.col("size").isNull()).groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("s"))
     pairs = b.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    dealt = sized.where(F.col("size").isNotNull()).withColumn("blocks", F.ceil(F.col("size") / F.lit(max(most, 1))))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    held = met.groupBy("k", low.alias("p"), high.alias("q")).agg(F.collect_list(F.when(F.col("block") == low, F.col("x"))).alias("l"), F.collect_list(F.when(F.col("block") == high, F.col("x"))).alias("r"))
+    crossed = held.select("p", "q", F.explode("l").alias("u"), "r").select("p", "q", "u", F.explode("r").alias("v")).where((F.col("p") < F.col("q")) | (F.col("u") < F.col("v")))
+    crossed = crossed.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return pairs.unionByName(crossed).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inject_regression(df: DataFrame, segment: str, target: str, correct: str, key: list[str], drop: float) -> DataFrame:

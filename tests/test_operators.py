@@ -3,6 +3,7 @@
 import io
 import random
 import zipfile
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -18,6 +19,7 @@ from millrace.operators import sequential as Q
 from millrace.operators import splits as S
 from millrace.operators import temporal as T
 from millrace.operators.models import check_routes
+from millrace.operators.policy import cooccurrence
 from millrace.plans import retrieval
 from millrace.operators.ordered import ntile, with_row_number, with_running_sums
 from millrace.operators.policy import segments
@@ -213,3 +215,14 @@ def test_all_items_are_asked(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for f in (retrieval.bm25_run_all, retrieval.parent_collapse_all):
         assert {(r.qid, r.doc) for r in f(spark, str(tmp_path)).where("place = 1").collect()} == {(i, 10 * i) for i in range(1, 6)}
+
+
+def test_cooccurrence_of_large_baskets(spark):
+    """Baskets below, at and far above the size paired in one row, against brute force."""
+    rng = random.Random(5)
+    baskets = {k: rng.sample(range(200), size) for k, size in enumerate((1, 2, 50, 51, 120, 200))}
+    rows = [(k, f"i{x:03d}") for k, xs in baskets.items() for x in xs for _ in range(1 + x % 2)] + [(None, "i000"), (1, None)]
+    want = Counter((f"i{a:03d}", f"i{b:03d}") for xs in baskets.values() for a in xs for b in xs if a < b)
+    df = spark.createDataFrame(rows, "k int, x string")
+    for most in (50, 7):
+        assert {(r.a, r.b): r.n for r in cooccurrence(df, "k", "x", most).collect()} == want
