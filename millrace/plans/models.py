@@ -8,7 +8,7 @@ from millrace.functions import finance as N
 from millrace.operators import models as D
 from millrace.operators import retrieval as R
 from millrace.plans.metrics import _S, GRID, scored
-from millrace.plans.retrieval import _DENSE, _QA, _TOKENS, _scores, dense_run
+from millrace.plans.retrieval import _DENSE, _DOCS, _QA, _TOKENS, _docs, _scores, dense_run
 from millrace.sources.tables import table
 
 
@@ -35,6 +35,10 @@ def tfidf_items(s, d):
     return D.tfidf(x).select("doc", "word", F.round("weight", 6).alias("weight"))
 
 
+def tfidf_documents(s, d):
+    return D.tfidf(_docs(s, d)).select("doc", "word", F.round("weight", 6).alias("weight"))
+
+
 def signed_ranks(s, d):
     w = _scores(s, d).groupBy("question_id").pivot("version", ["a", "b"]).agg(F.first("f1"))
     return D.signed_ranks(w.withColumn("diff", F.col("b") - F.col("a")), "diff")
@@ -72,7 +76,7 @@ def proportion_gap(s, d):
     return g.select(F.round(diff, 6).alias("difference"), F.round(lo, 6).alias("lower"), F.round(hi, 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, signed_ranks, tune_scale, cutoff_curve, route_check, failure_causes, proportion_gap)}
+QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, tfidf_documents, signed_ranks, tune_scale, cutoff_curve, route_check, failure_causes, proportion_gap)}
 
 SQL = {
     "woe_bins": """WITH g AS (SELECT CAST(ceil(l_quantity / 10) AS integer) AS bin, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1),
@@ -80,6 +84,8 @@ SQL = {
     "score_points": f"WITH {_S} SELECT l_orderkey, l_linenumber, round(600 - 20 / ln(2) * ln(50) + 20 / ln(2) * ln((1 - p) / p), 4) AS points FROM x WHERE p > 0 AND p < 1",
     "tfidf_items": f"""WITH w AS (SELECT item_id AS doc, unnest({_TOKENS.format('item_text')}) AS word FROM eval_items), tf AS (SELECT doc, word, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
       r AS (SELECT doc, word, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM eval_items)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (word)) SELECT doc, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM r""",
+    "tfidf_documents": f"""WITH {_DOCS}, tf AS (SELECT doc, word, count(*) AS tf FROM (SELECT doc, unnest(words) AS word FROM docs) GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+      r AS (SELECT doc, word, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (word)) SELECT doc, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM r""",
     "signed_ranks": f"WITH {_QA}, x AS (SELECT b - a AS diff, round(abs(b - a), 9) AS k FROM wide WHERE b <> a), r AS (SELECT diff, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2 AS r FROM x) SELECT coalesce(sum(r) FILTER (WHERE diff > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE diff < 0), 0) AS w_minus, count(*) AS n FROM r",
     "tune_scale": "WITH g AS (SELECT round(value / (1 + event_id % 7), 6) AS scale, sum(value) AS c FROM events WHERE value > 0 GROUP BY 1), r AS (SELECT scale, sum(c) OVER (ORDER BY scale) AS cost FROM g) SELECT max(scale) AS scale, round(max(cost), 4) AS cost FROM r WHERE cost <= 5000",
     "cutoff_curve": f"WITH {_QA}, x AS (SELECT a, b, CAST('0x' || substr(md5(question_id), 1, 4) AS integer) / 65536.0 AS p FROM wide), g AS (SELECT unnest([{', '.join(map(str, GRID))}]) AS c) SELECT CAST(c AS double) AS cutoff, round(avg(CAST(p >= c AS integer)), 6) AS share, round(avg(CASE WHEN p >= c THEN b ELSE a END), 6) AS quality, CAST(sum(CASE WHEN p >= c THEN 5 ELSE 1 END) AS double) AS cost FROM x, g GROUP BY 1",

@@ -20,7 +20,7 @@ from millrace.operators import splits as S
 from millrace.operators import temporal as T
 from millrace.operators.models import check_routes
 from millrace.operators.policy import cooccurrence
-from millrace.plans import retrieval
+from millrace.plans import models, retrieval
 from millrace.operators.ordered import ntile, with_row_number, with_running_sums
 from millrace.operators.policy import segments
 from millrace.operators.retrieval import chunks, rrf, run_metrics
@@ -226,3 +226,8 @@ def test_cooccurrence_of_large_baskets(spark):
     df = spark.createDataFrame(rows, "k int, x string")
     for most in (50, 7):
         assert {(r.a, r.b): r.n for r in cooccurrence(df, "k", "x", most).collect()} == want
+
+
+def test_term_weights_of_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "a a"), (2, "b"), (3, ""), (4, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, models.tfidf_documents(spark, str(tmp_path)).collect())) == [(1, "a", 1.0), (2, "b", 1.0)]
