@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_id
+from millrace.session import materialise
+
+NULL_KIND = "NULL"
 
 
 def distinct_activities(events: DataFrame, entity: str, item: str, kind: str, ts: str, value: str, before: datetime | None = None) -> DataFrame:
@@ -51,6 +54,11 @@ def daily_cumulative(activities: DataFrame) -> DataFrame:
     )
 
 
+def feature_store(activities: DataFrame) -> DataFrame:
+    """The cumulative store, written once: any number of instants and windows are endpoints read from it."""
+    return materialise(daily_cumulative(activities), "feature-store")
+
+
 def _endpoint(what: Column, day: Column) -> Column:
     """The stored figure of the last day before `day`; no such day: NULL."""
     return F.max_by(what, F.when(F.col("day") < day, F.col("day")))
@@ -87,12 +95,13 @@ def features_as_of(store: DataFrame, as_of: datetime, windows: tuple[int, ...] =
 def feature_table(cells: DataFrame, as_of: datetime) -> DataFrame:
     """One row per entity: a map from kind to its count, recency in days and totals.
 
-    A map holds hundreds of kinds without a column for each; its size is bounded by the number of kinds.
+    A map holds hundreds of kinds without a column for each; its size is bounded by the number of kinds. The NULL kind
+    has the key NULL in capitals, which no kind has: kinds are in lower case.
     """
     fields = [c for c in cells.columns if c not in ("entity", "kind", "last_ts")]
     cell = F.struct(*fields, "last_ts", F.date_diff(F.lit(as_of.date()), F.to_date("last_ts")).alias("recency_days"))
     return cells.groupBy("entity").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("kind", F.lit("")).alias("key"), cell.alias("value"))))).alias("features"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("kind", F.lit(NULL_KIND)).alias("key"), cell.alias("value"))))).alias("features"),
         F.sum("n").alias("n_all"),
         F.max("last_ts").alias("last_ts"),
     )

@@ -18,50 +18,18 @@ def counting_snapshots(rows: DataFrame, group: list[str], day: Column, snapshot:
     return days.select(*group, "day", snapshot, F.row_number().over(by_day).alias("seq"), F.lead("day").over(by_day).alias("next_day"))
 
 
-def attribute_log(rows: Column, attribute: str, kind: str) -> Column:
-    """An attribute's own intervals of snapshots, array<struct<start,stop,value>> of half-open [start, stop).
+def attribute_log(statements: DataFrame, fact: list[str], attributes: list[str]) -> DataFrame:
+    """`statements` with a column `from_<a>` for each attribute: its own change log.
 
-    `rows` is a fact's array of statements, sorted by seq. An interval ends where the attribute changes (NULL equals
-    NULL) or where a snapshot leaves out the fact.
+    The attribute's interval that a statement (one row per fact and seq) lies in began at snapshot number `from_<a>`:
+    where the attribute changed (NULL equals NULL), or where the fact came back after a snapshot that left it out.
+    One pass over the sorted statements of a fact; a fact has at most one row per snapshot.
     """
-    typed = f"array<struct<start:int,stop:int,value:{kind}>>"
-
-    def step(log: Column, r: Column) -> Column:
-        last = F.try_element_at(log, F.lit(-1))
-        goes_on = F.coalesce(last["stop"] == r["seq"], F.lit(False)) & last["value"].eqNullSafe(r[attribute])
-        start = F.when(goes_on, last["start"]).otherwise(r["seq"])
-        kept = F.when(goes_on, F.slice(log, 1, F.size(log) - 1)).otherwise(log)
-        return F.concat(kept, F.array(F.struct(start.alias("start"), (r["seq"] + 1).alias("stop"), r[attribute].alias("value")))).cast(typed)
-
-    return F.aggregate(rows, F.expr(f"cast(array() as {typed})"), step)
-
-
-def combine(logs: dict[str, Column], kinds: dict[str, str]) -> Column:
-    """The versions that the attributes' intervals make together, array<struct<start,stop,attributes...>>.
-
-    The intervals are split at the union of their boundaries; neighbouring pieces with equal content are one.
-    """
-    ends = lambda log: F.concat(F.transform(log, lambda e: e["start"]), F.transform(log, lambda e: e["stop"]))
-    cuts = F.array_sort(F.array_distinct(F.concat(*[ends(log) for log in logs.values()])))
-    at = lambda log, i: F.try_element_at(F.filter(log, lambda e: (e["start"] <= i) & (i < e["stop"])), F.lit(1))
-
-    def piece(pair: Column) -> Column:
-        held = {a: at(log, pair["start"]) for a, log in logs.items()}
-        stated = reduce(lambda x, y: x | y, [h.isNotNull() for h in held.values()])
-        return F.struct(pair["start"].alias("start"), pair["stop"].alias("stop"), stated.alias("stated"), *[h["value"].alias(a) for a, h in held.items()])
-
-    pairs = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.struct(c.alias("start"), F.element_at(cuts, i + 2).alias("stop")))
-    pieces = F.filter(F.transform(pairs, piece), lambda x: x["stated"])
-    typed = "array<struct<start:int,stop:int," + ",".join(f"{a}:{k}" for a, k in kinds.items()) + ">>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = F.coalesce(last["stop"] == x["start"], F.lit(False)) & reduce(lambda p, q: p & q, [last[a].eqNullSafe(x[a]) for a in logs])
-        start = F.when(same, last["start"]).otherwise(x["start"])
-        kept = F.when(same, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
-        return F.concat(kept, F.array(F.struct(start.alias("start"), x["stop"].alias("stop"), *[x[a].alias(a) for a in logs]))).cast(typed)
-
-    return F.aggregate(pieces, F.expr(f"cast(array() as {typed})"), step)
+    w = Window.partitionBy(*fact).orderBy("seq")
+    goes_on = F.coalesce(F.lag("seq").over(w) == F.col("seq") - 1, F.lit(False))
+    opened = statements.withColumns({f"_new_{a}": F.when(~(goes_on & F.lag(a).over(w).eqNullSafe(F.col(a))), F.col("seq")) for a in attributes})
+    logged = opened.withColumns({f"from_{a}": F.max(f"_new_{a}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for a in attributes})
+    return logged.drop(*[f"_new_{a}" for a in attributes])
 
 
 def history(rows: DataFrame, group: list[str], fact: list[str], snapshot: str, day: Column, attributes: list[str], row_id: str) -> DataFrame:
@@ -73,25 +41,24 @@ def history(rows: DataFrame, group: list[str], fact: list[str], snapshot: str, d
     where one snapshot states two contents of a fact, that of the smallest row_id stands. `fact` may hold NULLs,
     which name a fact like any value. Rows without a snapshot or day state nothing.
 
-    Statements are reduced to one per fact and day before they meet the snapshots of their group; a fact's statements
-    then make one array of at most as many entries as days, on which each attribute's change log is built and the
-    logs are combined: one shuffle by fact, however often a key is repeated.
+    Statements are reduced to one per fact and day before they meet the snapshots of their group. Each attribute has
+    its own change log; the logs are split at the union of their boundaries by grouping on all interval starts
+    together. Two neighbouring pieces always differ in an attribute, since a boundary is put only where one changes,
+    so they need no further coalescing. Everything after the join is one sort by fact, linear in the statements.
     """
-    kinds = dict(rows.dtypes)
     names = [*group, *fact]
     f = [f"_f{i}" for i in range(len(names))]
     g = f[: len(group)]
-    attrs = {f"a{i}": kinds[a] for i, a in enumerate(attributes)}
+    attrs = [f"a{i}" for i in range(len(attributes))]
     src = rows.select(*[F.col(c).alias(o) for c, o in zip(names, f)], F.col(snapshot).alias("_snap"), day.alias("_day"), F.col(row_id).alias("_id"), *[F.col(c).alias(a) for c, a in zip(attributes, attrs)])
     src = src.where(F.col("_snap").isNotNull() & F.col("_day").isNotNull())
     marks = counting_snapshots(src, g, F.col("_day"), "_snap")
     stated = src.groupBy(*f, "_day", "_snap").agg(F.min(F.struct("_id", *attrs)).alias("s"))
     on = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in g]) & (F.col("l._day") == F.col("r.day")) & (F.col("l._snap") == F.col("r._snap"))
-    met = stated.alias("l").join(marks.alias("r"), on).select(*[F.col(f"l.{c}") for c in f], F.struct("r.seq", "r.day", "r.next_day", F.col("l._snap").alias("snap"), F.col("s._id").alias("id"), *[F.col(f"s.{a}").alias(a) for a in attrs]).alias("x"))
-    facts = met.groupBy(*f).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    facts = facts.withColumns({f"_log_{a}": attribute_log(F.col("x"), a, k) for a, k in attrs.items()})
-    facts = facts.withColumn("_v", combine({a: F.col(f"_log_{a}") for a in attrs}, attrs))
-    versions = facts.select(*f, "x", F.explode("_v").alias("v"))
-    row = lambda seq: F.element_at(F.filter("x", lambda r: r["seq"] == seq), 1)
-    out = versions.select(*f, "v", row(F.col("v.start")).alias("o"), row(F.col("v.stop") - 1)["next_day"].alias("valid_to"))
-    return out.select(*[F.col(o).alias(c) for c, o in zip(names, f)], *[F.col(f"v.{a}").alias(c) for a, c in zip(attrs, attributes)], F.col("o.id").alias(row_id), F.col("o.snap").alias(snapshot), F.col("o.day").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"))
+    met = stated.alias("l").join(marks.alias("r"), on).select(*[F.col(f"l.{c}") for c in f], "r.seq", "r.day", "r.next_day", F.col("l._snap").alias("snap"), F.col("s._id").alias("id"), *[F.col(f"s.{a}").alias(a) for a in attrs])
+    logged = attribute_log(met, f, attrs)
+    pieces = logged.groupBy(*f, *[f"from_{a}" for a in attrs]).agg(F.min_by(F.struct("id", "snap", "day", *attrs), "seq").alias("o"), F.max_by("next_day", "seq").alias("valid_to"))
+    return pieces.select(
+        *[F.col(o).alias(c) for c, o in zip(names, f)], *[F.col(f"o.{a}").alias(c) for a, c in zip(attrs, attributes)],
+        F.col("o.id").alias(row_id), F.col("o.snap").alias(snapshot), F.col("o.day").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"),
+    )

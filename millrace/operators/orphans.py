@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from millrace.functions.text import norm_id
 from millrace.session import shuffle_partitions
 
-#: A bucket is salted when it has more than this many times the mean of references.
+#: Rows of references and parents that a bucket is meant to hold: a task's memory. A bucket with more than HOT times
+#: as many references is salted.
+BUCKET_ROWS = 1 << 20
 HOT = 2
 NEVER = np.iinfo(np.int64).max
 
@@ -95,12 +97,13 @@ def orphan_references(
     begin has the key but never began. Ids that are text are trimmed and put in lower case.
 
     Parent rows shrink to one lifetime per key and end before they are shuffled; keys are cut into buckets, each
-    bucket's sorted keys into contiguous runs. A bucket with many references is salted: its references are dealt out
-    and its parents repeated, so a hot key is spread over tasks. Buckets follow spark.sql.shuffle.partitions.
+    bucket's sorted keys into contiguous runs. The number of buckets follows the counted rows of both sides (and is
+    at least spark.sql.shuffle.partitions), so a bucket stays of one size at any scale. A bucket with many references
+    is salted: its references are dealt out and its parents repeated, so a hot key is spread over tasks.
     """
     spark = child.sparkSession
-    n = 4 * shuffle_partitions(spark)
     kinds = dict(child.dtypes)
+    n = max(shuffle_partitions(spark), -(-(child.count() + parent.count()) // BUCKET_ROWS))
 
     def own(c: str) -> Column:
         return norm_id(c) if kinds[c] == "string" else F.col(c)
@@ -108,9 +111,9 @@ def orphan_references(
     bucket = F.pmod(F.crc32("_key"), F.lit(n)).cast("int").alias("_bucket")
     present = F.col(ref).isNotNull() & (F.btrim(F.col(ref).cast("string"), F.lit(" \t")) != "")
     some = child.where(present)
-    counts = {r["_bucket"]: r["count"] for r in some.select(key_bytes(F.col(ref), kinds[ref]).alias("_key")).select(bucket).groupBy("_bucket").count().collect()}
-    mean = max(1.0, sum(counts.values()) / n)
-    salts = [(b, int(-(-c // (HOT * mean)))) for b, c in sorted(counts.items()) if c > HOT * mean]
+    counts = some.select(key_bytes(F.col(ref), kinds[ref]).alias("_key")).select(bucket).groupBy("_bucket").count()
+    full = counts.where(F.col("count") > HOT * BUCKET_ROWS).collect()  # at most one row for HOT * BUCKET_ROWS references
+    salts = [(r["_bucket"], -(-r["count"] // BUCKET_ROWS)) for r in full]
 
     # one row per child at its earliest time
     refs = child.select(*[own(c).alias(f"_{i}") for i, c in enumerate(ids)], F.when(present, key_bytes(F.col(ref), kinds[ref])).alias("_key"), F.col(at).alias("_at"))
@@ -124,7 +127,7 @@ def orphan_references(
     # of lifetimes with one end only the longest counts; one that never began is kept apart by its NULL
     ends = ends.groupBy("_key", "_until").agg(F.min("_since").alias("_since")).select("_key", "_since", "_until", bucket)
     if salts:
-        hot = F.broadcast(spark.createDataFrame(salts, "_bucket int, _salts int"))  # at most n / HOT rows
+        hot = F.broadcast(spark.createDataFrame(salts, "_bucket int, _salts bigint"))  # the hot buckets
         refs = refs.join(hot, "_bucket", "left").withColumn("_salt", F.pmod(F.hash(*names), F.coalesce("_salts", F.lit(1)))).drop("_salts")
         ends = ends.join(hot, "_bucket", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     else:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_id
-from millrace.operators.features import daily_cumulative, distinct_activities, feature_table, features_as_of
+from millrace.operators.features import distinct_activities, feature_store, feature_table, features_as_of
 from millrace.operators.history import history
-from millrace.operators.known_at import as_known, snapshots
+from millrace.operators.known_at import as_known, period_for, snapshots
 from millrace.operators.orphans import orphan_references
 from millrace.sources.lines import Layout, classify_lines
 from millrace.sources.tables import table
@@ -27,8 +27,8 @@ PAYMENTS = Layout(("order_id", "payment_sequential", "payment_type", "payment_in
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "customer_orders")
-    acts = distinct_activities(events, "customer_unique_id", "order_id", "event_type", "purchase_ts", "paid_value", before=AS_OF)
-    return features_as_of(daily_cumulative(acts), AS_OF)
+    acts = distinct_activities(events, "customer_unique_id", "order_id", "event_type", "purchase_ts", "paid_value")
+    return features_as_of(feature_store(acts), AS_OF)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,9 @@ def p2_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
     t = feature_table(_cells(spark, d), AS_OF)
-    return t.select(F.col("entity").alias("customer_unique_id"), F.size("features").alias("n_types"), "n_all", "last_ts", F.to_json("features").alias("features"))
+    cell = lambda e: F.concat(e["key"], F.lit("="), e["value"]["n"].cast("string"), F.lit("@"), e["value"]["recency_days"].cast("string"))
+    listed = F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))), cell), ";")
+    return t.select(F.col("entity").alias("customer_unique_id"), F.size("features").alias("n_types"), "n_all", "last_ts", listed.alias("features"))
 
 
 def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -63,16 +65,26 @@ def _moment(c: str) -> Column:
     return F.btrim(F.col(f"record.{c}"), F.lit(" \t")).try_cast("timestamp_ntz")
 
 
+def _unread(typed: dict[str, Column]) -> Column:
+    """Fields of a sound record that hold text but no value of their type, as `name=text`: no field is lost silently."""
+    lost = [F.when((_field(c) != "") & v.isNull(), F.concat(F.lit(f"{c}="), _field(c))) for c, v in typed.items()]
+    return F.concat_ws(";", *lost).alias("unread")
+
+
+def _field(c: str) -> Column:
+    return F.btrim(F.col(f"record.{c}"), F.lit(" \t"))
+
+
 def p3_orders(spark: SparkSession, d: str) -> DataFrame:
     orders, _ = _lines(spark, d)
-    text = [F.btrim(F.col(f"record.{c}"), F.lit(" \t")).alias(c) for c in ORDERS.fields[:3]]
-    return orders.where(F.col("reason").isNull()).select("line_id", *text, *[_moment(c).alias(c) for c in ORDERS.fields[3:]])
+    typed = {c: _moment(c) for c in ORDERS.fields[3:]}
+    return orders.where(F.col("reason").isNull()).select("line_id", *[_field(c).alias(c) for c in ORDERS.fields[:3]], *[v.alias(c) for c, v in typed.items()], _unread(typed))
 
 
 def p3_payments(spark: SparkSession, d: str) -> DataFrame:
     _, payments = _lines(spark, d)
-    value = F.btrim(F.col("record.payment_value"), F.lit(" \t")).try_cast("decimal(18,4)").alias("payment_value")
-    return payments.where(F.col("reason").isNull()).select("line_id", F.col("record.payment_type").alias("payment_type"), value)
+    typed = {c: _field(c).try_cast("int") for c in ("payment_sequential", "payment_installments")} | {"payment_value": _field("payment_value").try_cast("decimal(18,4)")}
+    return payments.where(F.col("reason").isNull()).select("line_id", _field("order_id").alias("order_id"), F.col("record.payment_type").alias("payment_type"), *[v.alias(c) for c, v in typed.items()], _unread(typed))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -106,8 +118,10 @@ def symbol6(c: str) -> Column:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    snaps = snapshots(table(spark, d, "universe_manifest"), symbol6("symbol"), "manifest_id", "listing_date", "delisting_date", "recorded_at")
-    found = as_known(table(spark, d, "krx_panel"), "price_id", symbol6("symbol"), "trade_ts", snaps)
+    entries = table(spark, d, "universe_manifest")
+    period = period_for(entries, symbol6("symbol"), "recorded_at")
+    snaps = snapshots(entries, symbol6("symbol"), "manifest_id", "listing_date", "delisting_date", "recorded_at", period)
+    found = as_known(table(spark, d, "krx_panel"), "price_id", symbol6("symbol"), "trade_ts", snaps, period)
     return found.select(F.col("event_id").alias("price_id"), F.col("version").alias("manifest_id"))
 
 
@@ -199,11 +213,15 @@ SQL = {
     "p2_cells": f"""WITH {_ACTS} SELECT customer_unique_id, event_type, count(*) AS n_events, CAST(coalesce(sum(paid_value), 0) AS decimal(38,2)) AS total_paid, max(purchase_ts) AS last_ts,
       count(*) FILTER (WHERE purchase_ts >= TIMESTAMP '2018-06-01' - INTERVAL 30 DAY) AS n_30d,
       CAST(coalesce(sum(paid_value) FILTER (WHERE purchase_ts >= TIMESTAMP '2018-06-01' - INTERVAL 90 DAY), 0) AS decimal(38,2)) AS total_90d FROM acts GROUP BY 1, 2""",
+    "p2_features": f"""WITH {_ACTS}, c AS (SELECT customer_unique_id, coalesce(event_type, 'NULL') AS k, count(*) AS n, max(purchase_ts) AS last_ts FROM acts GROUP BY 1, 2)
+      SELECT customer_unique_id, CAST(count(*) AS integer) AS n_types, CAST(sum(n) AS bigint) AS n_all, max(last_ts) AS last_ts, string_agg(k || '=' || n || '@' || date_diff('day', CAST(last_ts AS date), DATE '2018-06-01'), ';' ORDER BY k) AS features FROM c GROUP BY 1""",
     "p3_found": f"WITH {_CLASSED} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_orders": f"""WITH {_CLASSED} SELECT line_id, nullif(v[1], '') AS order_id, nullif(v[2], '') AS customer_id, nullif(v[3], '') AS order_status, try_cast(v[4] AS timestamp) AS order_purchase_timestamp,
       try_cast(v[5] AS timestamp) AS order_approved_at, try_cast(v[6] AS timestamp) AS order_delivered_carrier_date, try_cast(v[7] AS timestamp) AS order_delivered_customer_date,
-      try_cast(v[8] AS timestamp) AS order_estimated_delivery_date FROM judged WHERE reason IS NULL AND NOT paid""",
-    "p3_payments": f"WITH {_CLASSED} SELECT line_id, CASE WHEN f[3] LIKE '\"%' THEN replace(f[3][2:-2], '\"\"', '\"') ELSE nullif(f[3], '') END AS payment_type, CAST(v[5] AS decimal(18,4)) AS payment_value FROM judged WHERE reason IS NULL AND paid",
+      try_cast(v[8] AS timestamp) AS order_estimated_delivery_date, coalesce((SELECT string_agg(n || '=' || x, ';' ORDER BY i) FROM (
+        SELECT unnest([4, 5, 6, 7, 8]) AS i, unnest(['order_purchase_timestamp', 'order_approved_at', 'order_delivered_carrier_date', 'order_delivered_customer_date', 'order_estimated_delivery_date']) AS n, unnest(v[4:8]) AS x)
+        WHERE x <> '' AND try_cast(x AS timestamp) IS NULL), '') AS unread FROM judged WHERE reason IS NULL AND NOT paid""",
+    "p3_payments": f"WITH {_CLASSED} SELECT line_id, CASE WHEN f[3] LIKE '\"%' THEN replace(f[3][2:-2], '\"\"', '\"') ELSE nullif(f[3], '') END AS payment_type, CAST(v[5] AS decimal(18,4)) AS payment_value, nullif(v[1], '') AS order_id, CASE WHEN regexp_full_match(v[2], '[+-]?[0-9]+') THEN try_cast(v[2] AS integer) END AS payment_sequential, CASE WHEN regexp_full_match(v[4], '[+-]?[0-9]+') THEN try_cast(v[4] AS integer) END AS payment_installments, concat_ws(';', CASE WHEN v[2] <> '' AND NOT coalesce(regexp_full_match(v[2], '[+-]?[0-9]+') AND try_cast(v[2] AS integer) IS NOT NULL, false) THEN 'payment_sequential=' || v[2] END, CASE WHEN v[4] <> '' AND NOT coalesce(regexp_full_match(v[4], '[+-]?[0-9]+') AND try_cast(v[4] AS integer) IS NOT NULL, false) THEN 'payment_installments=' || v[4] END) AS unread FROM judged WHERE reason IS NULL AND paid",
     "p3_report": f"WITH {_CLASSED} SELECT source_file, coalesce(reason, 'sound') AS state, count(*) AS n_lines FROM judged GROUP BY 1, 2",
     "p5_found": f"WITH {_ORPHANS} SELECT child_table, period, order_id, line_no, kind FROM verdicts WHERE kind IS NOT NULL",
     "p5_report": f"WITH {_ORPHANS} SELECT child_table, period, kind, count(*) AS n_references FROM verdicts WHERE kind IS NOT NULL GROUP BY 1, 2, 3",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def local_session(cpus: int | str = 8, app: str = "millrace") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     tmp = tempfile.gettempdir()
@@ -27,9 +31,11 @@ def local_session(cpus: int | str = 8, app: str = "millrace") -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}/millrace-work"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
@@ -39,12 +45,28 @@ def work_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    The files survive a lost executor, unlike cached or locally checkpointed blocks.
+    The files survive a lost executor, unlike cached or locally checkpointed blocks. Results are lazy and read them
+    when they run, so they stay until `drop_work`, which the end of the driver calls too.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(drop_work, spark)
+    _written.append(path)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete the work tables written so far. Results that were made from them can no longer be run."""
+    paths, _written[:] = list(_written), []
+    try:
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session is gone already
+        return
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

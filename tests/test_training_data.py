@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.features import daily_cumulative, distinct_activities, feature_table, features_as_of
 from millrace.operators.history import history
-from millrace.operators.known_at import as_known, snapshots
+from millrace.operators.known_at import as_known, period_for, snapshots
 from millrace.operators.orphans import key_bytes, key_runs, orphan_references
 from millrace.sources.lines import Layout, classify_lines
 
@@ -118,8 +118,16 @@ def test_key_bytes_keep_order(spark):
     assert [r.k for r in df.orderBy(key_bytes(F.col("k"), "bigint")).collect()] == [-(2**63), -5, 0, 7, 2**63 - 1]
 
 
+def test_feature_map_keeps_null_and_empty_kinds(spark):
+    rows = [("c", "o1", None, datetime(2018, 5, 1), Decimal("1"), 0, ""), ("c", "o2", " ", datetime(2018, 5, 2), Decimal("2"), 0, "")]
+    r = feature_table(features(spark, rows), datetime(2018, 6, 1)).first()
+    assert {k: v.last_item for k, v in r.features.items()} == {"NULL": "o1", "": "o2"} and r.n_all == 2
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 20, 20])
 @pytest.mark.parametrize("integers", [False, True])
-def test_orphans_brute(spark, integers):
+def test_orphans_brute(spark, monkeypatch, integers, bucket_rows):
+    monkeypatch.setattr("millrace.operators.orphans.BUCKET_ROWS", bucket_rows)
     rng = random.Random(5)
     key = (lambda n: n) if integers else (lambda n: rng.choice([f"{n:032x}", f" {n:032X}\t"]))
     plain = lambda k: k if integers or k is None else k.strip(" \t").lower()
@@ -160,6 +168,7 @@ def test_as_known_brute(spark):
     m = spark.createDataFrame(entries, "version int, sym string, since date, until date, recorded timestamp_ntz")
     e = spark.createDataFrame(events, "id int, sym string, ts timestamp_ntz").withColumn("period", F.lit(1))
     snaps = snapshots(m, F.col("sym"), "version", "since", "until", "recorded")
+    months = snapshots(m, F.col("sym"), "version", "since", "until", "recorded", "month")
     want = {}
     for i, sym, ts in events:
         if sym is None or ts is None:
@@ -171,8 +180,10 @@ def test_as_known_brute(spark):
         holds = [(since, v) for since, (_, v, until) in known.items() if since <= ts.date() and (until is None or until > ts.date())]
         if holds:
             want[i] = max(holds)[1]
-    for rows in (200_000, 0):  # broadcast, and the shuffle beyond the bound
-        assert {r.event_id: r.version for r in as_known(e, "id", F.col("sym"), "ts", snaps, broadcast_rows=rows).collect()} == want
+    for rows in (1 << 20, 0):  # broadcast, and the shuffle beyond the bound
+        assert {r.event_id: r.version for r in as_known(e, "id", F.col("sym"), "ts", snaps, broadcast_bytes=rows).collect()} == want
+    assert {r.event_id: r.version for r in as_known(e, "id", F.col("sym"), "ts", months, "month").collect()} == want
+    assert period_for(m, F.col("sym"), "recorded") == "year" and period_for(m, F.col("sym"), "recorded", 1) == "month"
     assert as_known(e.limit(0), "id", F.col("sym"), "ts", snaps).count() == 0
     assert as_known(e, "id", F.col("sym"), "ts", snapshots(m.limit(0), F.col("sym"), "version", "since", "until", "recorded")).count() == 0
 
