@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.defects import answer_defects
 from millrace.llm.garbling import repair_texts
-from millrace.llm.leakage import leaked_items
+from millrace.llm.leakage import EDITED, leaked_items
 from millrace.llm.packing import pack
 from millrace.llm.tokens import count_tokens
 from millrace.llm.top_n import top_n_per_group
-from millrace.session import materialise
 from millrace.sources.tables import table
 
 CONTAINER = 2048
@@ -39,24 +38,33 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    counted = materialise(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "token-counts")
-    return pack(counted, "doc_id", "n_tokens", CONTAINER)
+    return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CONTAINER)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     bins = p8_pack(spark, d).groupBy("container").agg(F.sum("size").alias("used"))
     fill = F.sum("used") / (F.count(F.lit(1)) * CONTAINER)
-    return bins.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), fill.alias("fill"))
+    least = F.ceil(F.sum("used") / CONTAINER)  # no packing has fewer
+    return bins.agg(F.count(F.lit(1)).alias("n_containers"), least.alias("least_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), fill.alias("fill"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text").select("doc_id", "item_id")
+    return _leaks(spark, d).where(2 * F.col("covered") >= F.col("item_words")).select("doc_id", "item_id")
+
+
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Whole items that stand in a document with few edits, whether or not their unbroken runs make p9_found's case."""
+    return _leaks(spark, d).where(F.col("edits") <= EDITED * F.col("item_words")).select("doc_id", "item_id", "edits", "item_words")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "eval_items")
-    found = leaked_items(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "item_text")
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max(F.col("covered") / F.col("item_words")).alias("most_covered"))
+    found = _leaks(spark, d)
+    part = F.col("covered") / F.col("item_words")
+    return found.groupBy("item_id").agg(F.count_if(part >= 0.5).alias("n_documents"), F.max(part).alias("most_covered"), F.count_if(F.col("edits") == 0).alias("n_whole"), F.count_if((F.col("edits") > 0) & (F.col("edits") <= EDITED * F.col("item_words"))).alias("n_edited"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +75,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_found, p4_report, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_found, p4_report, p8_pack, p8_report, p9_found, p9_edited, p9_report, p10_found, p10_repaired)}
 
 _BEST = """
 best AS (

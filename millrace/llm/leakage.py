@@ -1,4 +1,4 @@
-"""Evaluation texts that stand in training texts, wholly or in part."""
+"""Evaluation texts that stand in training texts: wholly, in part, or with edits."""
 
 from __future__ import annotations
 
@@ -12,19 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import spread, work_dir
+from millrace.session import spread
 
-#: Evaluation items whose index is broadcast at once; more are taken in blocks of so many.
-BLOCK_ITEMS = 20_000
+#: Characters of evaluation items whose index is broadcast at once (about 30 bytes each); more are taken in blocks.
+BLOCK_CHARS = 4_000_000
 MIN_RUN = 5
-REPETITIONS = 2
+#: An item stands edited in a document if at most this share of its words is altered, added or missing.
+EDITED = 0.25
+#: Widths of the windows that find edited items: each item has windows of the largest one that is at most 5/8 of its
+#: words (else of all). Longer ones would hold more edits than CGK keeps close; a long item has many windows instead.
+WIDTHS = (6, 8, 12)
+#: (repetitions, sampled steps) of the keys of windows of MIN_RUN words, and of item-sized windows.
+SHORT, LONG = (2, 8), (8, 4)
 DOCS_AT_ONCE = 500
-SAMPLE = 8
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,500}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*+>|<!--.*?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\r?\n[ \t]*(?=\w)")
 _SIGNS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Cf") + "]")
+# Scripts written without spaces between words; each of their letters is a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
 
 def words(text: str | None) -> list[str]:
@@ -36,7 +43,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _SIGNS.sub("", text))
+        text = _UNSPACED.sub(r" \g<0> ", unicodedata.normalize("NFKC", _SIGNS.sub("", text)))
     if "\n" in text:
         text = _BROKEN.sub("", text)
     return _WORD.findall(text.casefold())
@@ -48,28 +55,31 @@ class WalkHash:
     The embedding walks through a window in three times its length of steps; at each step it writes the word it
     stands on and moves on if a random bit of (step, word) says so. Words of equal windows give equal walks; an edit
     makes walks differ for a while and then meet again, so edit distance becomes Hamming distance. A key hashes the
-    written words at SAMPLE random steps.
+    written words at `samples` random steps of the first half of the walk, which covers most of the window.
     """
 
-    def __init__(self, width: int = MIN_RUN, repetitions: int = REPETITIONS, seed: int = 11) -> None:
-        rng = np.random.default_rng(seed)
+    def __init__(self, width: int, repetitions: int, samples: int, seed: int = 11) -> None:
+        rng = np.random.default_rng(seed + width)
         self.width, self.steps = width, 3 * width
         self.coins = rng.integers(1, 2**63, (repetitions, self.steps), dtype=np.uint64) | np.uint64(1)
-        self.samples = [np.sort(rng.choice(self.steps, min(SAMPLE, self.steps), replace=False)) for _ in range(repetitions)]
+        reach = min(self.steps, 3 * width // 2 + samples)
+        self.samples = [np.sort(rng.choice(reach, min(samples, reach), replace=False)) for _ in range(repetitions)]
 
     def keys(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(repetitions, len(at)) keys of the windows of `ids` that start at `at`."""
         padded = np.concatenate([ids, np.full(self.width, -1)]).astype(np.uint64)
+        padded = (padded + np.uint64(2)) * np.uint64(0xBF58476D1CE4E5B9)  # spread, so that coins of unknown words fall too
+        padded ^= padded >> np.uint64(31)
         out = np.zeros((len(self.coins), len(at)), np.uint64)
         for r, coins in enumerate(self.coins):
             place = np.zeros(len(at), np.int64)
             sampled = set(self.samples[r].tolist())
-            for step in range(self.steps):
+            for step in range(max(sampled) + 1):
                 word = np.where(place < self.width, padded[at + np.minimum(place, self.width)], np.uint64(0xFFFF_FFFF))
                 if step in sampled:
-                    out[r] = (out[r] ^ (word + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+                    out[r] = (out[r] ^ word) * np.uint64(0x9E3779B97F4A7C15)
                     out[r] ^= out[r] >> np.uint64(29)
-                place += (((word + np.uint64(1)) * coins[step]) >> np.uint64(63)).astype(np.int64)
+                place += ((word * coins[step]) >> np.uint64(63)).astype(np.int64)
         return out
 
 
@@ -82,8 +92,35 @@ def window_sums(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def item_width(n_words: int) -> int:
+    """The width of the windows that find an item of so many words edited."""
+    return max((w for w in WIDTHS if 8 * w <= 5 * n_words), default=min(n_words, WIDTHS[0]))
+
+
+class Windows:
+    """Key tables of the windows of one width of some items: (repetition, sorted keys, item, place in the item)."""
+
+    def __init__(self, width: int, kind: tuple[int, int], items: list[int], words_of: list[np.ndarray]) -> None:
+        self.width, self.hash = width, WalkHash(width, *kind)
+        parts = [(k, np.arange(len(words_of[k]) - width + 1)) for k in items if len(words_of[k]) >= width]
+        flat, start, place = [], 0, []
+        for k, own in parts:
+            flat.append(words_of[k])
+            place.append(start + own)
+            start += len(words_of[k])
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        at = np.concatenate(place) if place else np.zeros(0, np.int64)
+        item = np.concatenate([np.full(len(own), k) for k, own in parts]) if parts else at
+        within = np.concatenate([own for _, own in parts]) if parts else at
+        self.tables = []
+        sums = window_sums(ids)[at] if width == MIN_RUN and len(at) else np.zeros(len(at), np.uint64)
+        for keys in self.hash.keys(ids, at):
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], item[order], within[order], sums[order]))
+
+
 class ItemIndex:
-    """Vocabulary, word numbers and window keys of a bounded block of evaluation items."""
+    """Vocabulary, word numbers and window keys of a bounded block of evaluation items; built once, then broadcast."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids: list[int] = []
@@ -94,36 +131,28 @@ class ItemIndex:
             if len(w) >= MIN_RUN:
                 self.ids.append(i)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
-        self.hash = WalkHash()
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
-        start = np.cumsum(lengths) - lengths
-        item = np.repeat(np.arange(len(lengths)), np.maximum(lengths - MIN_RUN + 1, 0))
-        within = np.arange(len(item)) - np.repeat(np.cumsum(np.maximum(lengths - MIN_RUN + 1, 0)) - np.maximum(lengths - MIN_RUN + 1, 0), np.maximum(lengths - MIN_RUN + 1, 0))
-        keys = self.hash.keys(flat, start[item] + within) if len(item) else np.zeros((REPETITIONS, 0), np.uint64)
-        sums = window_sums(flat)[start[item] + within] if len(item) else np.zeros(0, np.uint64)
-        self.tables = []
-        for r in range(len(keys)):
-            order = np.argsort(keys[r], kind="stable")
-            self.tables.append((keys[r][order], item[order], within[order], sums[order]))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.short = Windows(MIN_RUN, SHORT, list(range(len(self.words))), self.words)
+        by_width: dict[int, list[int]] = {}
+        for k, w in enumerate(self.words):
+            by_width.setdefault(item_width(len(w)), []).append(k)
+        self.long = [Windows(width, LONG, own, self.words) for width, own in sorted(by_width.items())]
 
-    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """(document, item) where windows that share keys could cover half of the item.
+    def parts(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(document, item) where windows of MIN_RUN words that share keys and words could cover half of the item.
 
         The documents are word numbers, -1 for a word of no item. They are hashed together. A key counts once per
         document, however often a common phrase is repeated in it.
         """
-        gap = np.full(MIN_RUN, -1, np.int64)
-        starts = np.cumsum([0, *(len(d) + MIN_RUN for d in docs)])
-        flat = np.concatenate([x for d in docs for x in (d, gap)]) if docs else np.zeros(0, np.int64)
+        flat, starts = _joined(docs, MIN_RUN)
         if len(flat) < MIN_RUN or not self.words:
             return
-        at = np.flatnonzero(np.convolve(flat >= 0, np.ones(MIN_RUN, np.int64), "valid") >= MIN_RUN - 1)
+        at = np.flatnonzero(np.convolve(flat >= 0, np.ones(MIN_RUN, np.int64), "valid") >= MIN_RUN)
         doc = np.searchsorted(starts, at, "right") - 1
-        span = max(map(len, self.words)) + 1
+        span = int(self.lengths.max()) + 1
         found = []
         sums = window_sums(flat)[at]
-        for keys, (table, item, within, own) in zip(self.hash.keys(flat, at), self.tables):
+        for keys, (table, item, within, own) in zip(self.short.hash.keys(flat, at), self.short.tables):
             low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
             hit = high > low
             order = np.lexsort((sums[hit], low[hit], doc[hit]))
@@ -133,7 +162,7 @@ class ItemIndex:
             d, low, code = d[once], low[once], code[once]
             n = np.searchsorted(table, table[low], "right") - low
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            same = own[j] == np.repeat(code, n)  # the words themselves: keys leave some out
+            same = own[j] == np.repeat(code, n)  # verified with no edit: a run of this length is unbroken
             d, j = np.repeat(d, n)[same], j[same]
             found.append((d * len(self.words) + item[j]) * span + within[j])
         windows = np.unique(np.concatenate(found))
@@ -144,10 +173,61 @@ class ItemIndex:
         step = np.full(len(pair), MIN_RUN)
         step[:-1] = np.where(pair[1:] == pair[:-1], np.minimum(within[1:] - within[:-1], MIN_RUN), MIN_RUN)
         covered = np.add.reduceat(step, first)
-        lengths = np.array([len(w) for w in self.words])
-        for p in pair[first][2 * covered >= lengths[pair[first] % len(self.words)]].tolist():
+        for p in pair[first][2 * covered >= self.lengths[pair[first] % len(self.words)]].tolist():
             yield divmod(p, len(self.words))
 
+    def near(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
+        """{(document, item): starts}: where the item could stand with edits, as item-sized windows share a key."""
+        out: dict[tuple[int, int], list[int]] = {}
+        for windows in self.long:
+            width = windows.width
+            flat, starts = _joined(docs, width)
+            if len(flat) < width:
+                continue
+            at = np.flatnonzero(np.convolve(flat >= 0, np.ones(width, np.int64), "valid") >= width - max(1, int(EDITED * width)))
+            doc = np.searchsorted(starts, at, "right") - 1
+            found = []
+            for keys, (table, item, within, _) in zip(windows.hash.keys(flat, at), windows.tables):
+                low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit], n)
+                h = np.repeat(hit, n)
+                begin = np.maximum(at[h] - starts[doc[h]] - within[j], 0) // MIN_RUN  # nearby starts are one
+                found.append(np.stack([doc[h], item[j], begin], axis=1))
+            for d, k, begin in np.unique(np.concatenate(found), axis=0).tolist():
+                out.setdefault((d, k), []).append(begin * MIN_RUN)
+        return out
+
+
+def _joined(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' words one after another with a gap of `width` unknown words behind each; their starts."""
+    gap = np.full(width, -1, np.int64)
+    starts = np.cumsum([0, *(len(d) + width for d in docs)])
+    return (np.concatenate([x for d in docs for x in (d, gap)]) if docs else np.zeros(0, np.int64)), starts
+
+
+def least_edits(item: list[int], text: list[int]) -> int:
+    """The least edit distance, in words, of the item and any piece of the text: Myers' bit vectors, one step a word."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(item):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, score = full, 0, len(item)
+    best = score
+    for w in text:
+        same = at.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            best = min(best, score)
+        more, less, either = (more << 1) & full, (less << 1) & full, same | down
+        up, down = less | (full & ~(either | more)), more & either
+    return best
+
 
 def exact_runs(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     """(place in document, place in item, length) of the unbroken runs of at least MIN_RUN words that both share."""
@@ -196,58 +276,70 @@ def best_chain(runs: list[tuple[int, int, int]], near: int, enough: int) -> int:
     return best
 
 
-def leaks(index: ItemIndex, texts: list[str | None], near: int) -> list[tuple[int, int, int, int]]:
-    """(place of the text, number of the item, words covered, words of the item) for each item that stands in a text."""
+def leaks(index: ItemIndex, texts: list[str | None], near: int) -> list[tuple[int, int, int, int, int]]:
+    """(place of the text, number of the item, words covered, words of the item, edits) for each item that stands in a text."""
     get = index.vocab.get
     docs = [np.array([get(x, -1) for x in words(t)], np.int64) for t in texts]
     out = []
-    for d, k in index.candidates(docs):
-        item = index.words[k]
-        covered = best_chain(exact_runs(item, docs[d]), near, len(item))
-        if 2 * covered >= len(item):
-            out.append((d, k, covered, len(item)))
+    possible: dict[tuple[int, int], list[int] | None] = dict.fromkeys(index.parts(docs))
+    for pair, starts in index.near(docs).items():
+        possible.setdefault(pair, starts)
+    for (d, k), starts in possible.items():
+        item, size = index.words[k], len(index.words[k])
+        most = int(EDITED * size)
+        if starts is not None:  # by item-sized windows only: looked at where they lie, before the whole text is
+            own = item.tolist()
+            if all(least_edits(own, docs[d][max(0, x - most) : x + MIN_RUN + size + most].tolist()) > most for x in starts):
+                continue
+        covered = best_chain(exact_runs(item, docs[d]), near, size)
+        edits = least_edits(item.tolist(), docs[d].tolist())
+        if 2 * covered >= size or edits <= most:
+            out.append((d, k, covered, size, edits))
     return out
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, near: int = 20) -> DataFrame:
-    """(doc_id, item_id, covered, item_words): the items that stand in a document, wholly or in part.
-
-    A case needs at least half of the item's words in unbroken runs of MIN_RUN or more words, in the item's order,
-    with at most `near` other words between two runs. Windows of MIN_RUN words of items and documents are embedded by
-    the CGK random walk and bit-sampled into keys, some repetitions of it; windows that share a key are candidates,
-    and the words behind them are then compared one by one. A window without an edit always shares its keys, and each
-    case has such windows, so no case is lost: recall is 1 for the definition above. (Windows as long as an item
-    would miss cases: half of such a window may differ, and CGK bounds the distance only for few edits.)
-
-    The items are a query set against all documents: their index is broadcast in blocks of at most BLOCK_ITEMS items,
-    a bound that does not grow with the documents; documents are read whole and never shuffled. NULL and empty texts,
-    and items with fewer than MIN_RUN words, have no case. Repeated rows come out once per document and item.
+    """(doc_id, item_id, covered, item_words, edits): the items that stand in a document, in part or edited.
+
+    covered: the item's words in unbroken runs of MIN_RUN or more words, in the item's order, with at most `near`
+    other words between two runs. edits: the least edit distance, in words, of the whole item and a piece of the
+    document. A row has 2 * covered >= item_words, or edits <= EDITED * item_words, or both.
+
+    Windows of items and documents are embedded by the CGK random walk and bit-sampled into keys, some repetitions of
+    it; windows that share a key are candidates, which are then verified. Windows sized by the item find it edited: CGK
+    keeps windows with few edits close, and the verification is the exact edit distance. Windows of MIN_RUN words find
+    items of which only parts stand there (half of a larger window may then differ, far beyond what CGK keeps close); an unbroken run has none but equal windows, which always share their keys, so no such case is lost.
+    Letters of scripts without spaces count as words.
+
+    The items are a query set against all documents: their index is built once for a block of at most BLOCK_CHARS
+    characters and broadcast, a bound that does not grow with the documents; documents are read whole, once a block,
+    and never shuffled. NULL and empty texts, and items with fewer than MIN_RUN words, have no case. Repeated rows
+    come out once per document and item.
     """
     spark = docs.sparkSession
-    work_dir(spark)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    number = pa.string() if kinds[1] == "string" else pa.int64()
     rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     asked = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     parts = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text")
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
+        shared = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block.collect()]))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
-            numbers = index.ids
+            index = shared.value
             for batch in batches:
                 ids, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
-                found = [(ids[a + x[0]], *x[1:]) for a in range(0, len(ids), DOCS_AT_ONCE) for x in leaks(index, texts[a : a + DOCS_AT_ONCE], near)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], batch["id"].type), pa.array([numbers[x[1]] for x in found]).cast(pa.string() if kinds[1] == "string" else pa.int64()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int32())],
-                    names=["id", "item", "covered", "item_words"],
-                )
+                found = [(ids[a + x[0]], index.ids[x[1]], *x[2:]) for a in range(0, len(ids), DOCS_AT_ONCE) for x in leaks(index, texts[a : a + DOCS_AT_ONCE], near)]
+                cols = list(zip(*found)) if found else [[]] * 5
+                types = [batch["id"].type, number, pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "item", "covered", "item_words", "edits"])
 
-        parts.append(rows.mapInArrow(search, f"id {kinds[0]}, item {'string' if kinds[1] == 'string' else 'bigint'}, covered int, item_words int"))
+        parts.append(rows.mapInArrow(search, f"id {kinds[0]}, item {'string' if kinds[1] == 'string' else 'bigint'}, covered int, item_words int, edits int"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    best = every.groupBy("id", "item").agg(F.max("covered").alias("covered"), F.max("item_words").alias("item_words"))
-    return best.select(F.col("id").alias(doc_id), F.col("item").cast(kinds[1]).alias(item_id), "covered", "item_words")
+    # of repeated rows, and of items with one id, the row with most words covered, then fewest edits
+    best = every.groupBy("id", "item").agg(F.max(F.struct("covered", (-F.col("edits")).alias("e"), "item_words")).alias("b"))
+    return best.select(F.col("id").alias(doc_id), F.col("item").cast(kinds[1]).alias(item_id), "b.covered", "b.item_words", (-F.col("b.e")).alias("edits"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 #: Items that are packed together. More fill little better; the packing of a group is one task's work.
 GROUP_ITEMS = 20_000
 
@@ -52,16 +54,16 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, seed: int = 7
 
     No item is split unless it exceeds the capacity; such an item gives full pieces, each a container of its own, and
     a rest that is packed like an item. An empty item (size 0 or NULL) takes part with size 0. Repeated rows are items
-    of their own. Containers are numbered by group and bin. The items are dealt into groups by a seeded hash and the
-    group's first-fit decreasing runs in one task: the number of groups follows the number of items (counted first),
-    so a task's work stays the same at any size.
+    of their own. Containers are numbered by group and bin. The items are written to the shared folder, counted, and
+    dealt into groups by a seeded hash of the row's place there, so that equal rows are dealt out like any others and a
+    task that is run again deals as before. A group's first-fit decreasing runs in one task; the number of groups
+    follows the number of items, so a task's work stays the same at any size.
     """
-    n = items.count()
-    groups = max(1, -(-n // group_items))
     kind = dict(items.dtypes)[item_id]
-    rows = items.select(F.col(item_id).alias("id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
-    # the size takes part in the hash, so that repeated ids are dealt out too
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(groups)).cast("int"))
+    rows = materialise(items.select(F.col(item_id).alias("id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size")), "sizes")
+    groups = max(1, -(-rows.count() // group_items))
+    place = F.xxhash64(F.lit(seed), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    rows = rows.select("id", "size", F.pmod(place, F.lit(groups)).cast("int").alias("grp"))
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         grp = key[0].as_py()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from millrace.llm import garbling, leakage
 from millrace.llm.defects import answer_defects, language, shortened_forms
 from millrace.llm.packing import first_fit_decreasing, pack
 from millrace.llm.tokens import count_tokens
-from millrace.llm.top_n import merge_first, top_n_per_group
+from millrace.llm.top_n import _first_rows, merge_first, top_n_per_group
 
 
 # Problem 1
@@ -22,9 +23,38 @@ def test_merge_skips_repeats_and_stops():
     assert merge_first([], 3) == []
 
 
-@pytest.mark.parametrize("run_rows", [7, 1 << 19])
-def test_top_n_brute(spark, monkeypatch, run_rows):
+def test_merge_of_many_runs(monkeypatch):
+    monkeypatch.setattr("millrace.llm.top_n.FAN_IN", 3)
+    rng = random.Random(11)
+    parts = [sorted({(-rng.randrange(9), f"i{rng.randrange(40)}") for _ in range(5)}) for _ in range(23)]
+    t = pa.table({"g0": [1] * sum(map(len, parts)) + [2], "run": [r for r, p in enumerate(parts) for _ in p] + [0], "item": [i for p in parts for _, i in p] + ["z"], "score": [-float(s) for p in parts for s, _ in p] + [1.0]})
+    rows, places = _first_rows(t, ["g0"], 7)
+    want, seen = [], set()
+    for s, i in sorted(x for p in parts for x in p):
+        if i not in seen:
+            seen.add(i)
+            want.append((-float(s), i))
+    got = {(g, p): (s, i) for g, p, s, i in zip(t["g0"].take(rows).to_pylist(), places.tolist(), t["score"].take(rows).to_pylist(), t["item"].take(rows).to_pylist())}
+    assert got == {(1, p + 1): x for p, x in enumerate(want[:7])} | {(2, 1): (1.0, "z")}
+
+
+def test_merge_looks_at_no_more_than_it_gives():
+    class Watched(list):
+        seen = 0
+
+        def __getitem__(self, i):
+            Watched.seen = max(Watched.seen, i)
+            return super().__getitem__(i)
+
+    runs = [Watched((-float(1000 - 3 * k - r), f"i{3 * k + r}") for k in range(300)) for r in range(3)]
+    assert [x[1] for x in merge_first(runs, 6)] == [f"i{k}" for k in range(6)] and Watched.seen <= 2
+
+
+@pytest.mark.parametrize(("run_rows", "held", "fan_in"), [(7, 1 << 16, 64), (3, 5, 2), (1 << 19, 1 << 16, 64)])
+def test_top_n_brute(spark, monkeypatch, run_rows, held, fan_in):
     monkeypatch.setattr("millrace.llm.top_n.RUN_ROWS", run_rows)
+    monkeypatch.setattr("millrace.llm.top_n.HELD_ROWS", held)
+    monkeypatch.setattr("millrace.llm.top_n.FAN_IN", fan_in)
     rng = random.Random(1)
     rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([*"abcdefghijklmnop", "é", "z" * 5000, "", None]), rng.choice([0.0, -0.0, 1.5, 2.0, -3.0, float("inf"), float("nan"), None]), i, 7) for i in range(900)]
     df = spark.createDataFrame(rows, "q bigint, p string, s double, run int, g0 int").repartition(6)
@@ -173,6 +203,19 @@ def test_pack(spark):
     assert pack(df.limit(0), "id", "size", 100).count() == 0
 
 
+def test_pack_deals_out_equal_rows(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("bigint").alias("id"), F.lit(3).alias("size"))
+    per = pack(df, "id", "size", 100, group_items=1000).groupBy((F.col("container") / 2**32).cast("int").alias("g")).count().collect()
+    assert len(per) == 20 and max(r["count"] for r in per) < 1300
+
+
+def test_pack_fill(spark):
+    """Within 2 % of the least number of containers that any packing needs."""
+    df = spark.range(30_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(700)) + 1).alias("size"))
+    n, used = pack(df, "id", "size", 2048).agg(F.count_distinct("container"), F.sum("size")).first()
+    assert n <= 1.02 * -(-used // 2048)
+
+
 def test_tokens_round_trip(spark):
     df = spark.createDataFrame([(1, "plain words"), (2, ""), (3, None), (4, "a<|endoftext|>b"), (5, "한국어 é " * 5000)], "i int, x string")
     n = {r.i: r.n_tokens for r in count_tokens(df, "i", "x").collect()}
@@ -205,7 +248,7 @@ ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen
 def test_leakage(spark, text, found):
     docs = spark.createDataFrame([(7, text, "x"), (7, text, "y")], "id bigint, text string, covered string")
     items = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (4, "")], "item bigint, body string")
-    got = leakage.leaked_items(docs, "id", "text", items, "item", "body").collect()
+    got = leakage.leaked_items(docs, "id", "text", items, "item", "body").where("2 * covered >= item_words").collect()
     assert [(r.id, r.item) for r in got] == ([(7, 1)] if found else [])
 
 
@@ -234,13 +277,76 @@ def test_leakage_against_brute_force():
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         texts.append(" ".join([rng.choice(vocab) for _ in range(rng.randint(0, 20))] + w + [rng.choice(vocab) for _ in range(5)]))
-    got = {(d, index.ids[k]) for d, k, *_ in leakage.leaks(index, texts, 20)}
+    got = {(d, index.ids[k]) for d, k, covered, size, _ in leakage.leaks(index, texts, 20) if 2 * covered >= size}
     want = {(d, i) for d, t in enumerate(texts) for i, x in items if 2 * brute_leak(x.split(), t.split(), 20) >= len(x.split())}
     assert got == want and len(want) > 50
 
 
+VOCAB = [f"w{i}" for i in range(2000)]
+
+
+def edited(rng, every, n):
+    """(items, texts): texts hold one item each with every so manieth word altered, added or missing."""
+    items = [(k, " ".join(rng.choice(VOCAB) for _ in range(rng.randint(8, 60)))) for k in range(n)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for i in range(every - 1, len(w), every):
+            w[i] = rng.choice(["changed", "new " + w[i], ""]) if every > 5 else "changed"
+        texts.append("before " * 30 + " ".join(w) + " after" * 30)
+    return items, texts
+
+
+@pytest.mark.parametrize("every", [5, 7])
+def test_edited_items(every):
+    items, texts = edited(random.Random(every), every, 200)
+    got = {(d, k) for d, k, _, size, edits in leakage.leaks(leakage.ItemIndex(items), texts, 20) if edits <= leakage.EDITED * size}
+    assert sum((i, i) in got for i in range(200)) >= 190 and all(a == b for a, b in got)
+
+
+def test_edited_items_need_the_walk(monkeypatch):
+    """Keys of whole windows in place of sampled walks find none of the items with every fifth word altered."""
+
+    def plain(self, ids, at):
+        padded = np.concatenate([ids, np.full(self.width, -1)]).astype(np.uint64)
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.width):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]
+        return np.stack([out] * len(self.coins))
+
+    items, texts = edited(random.Random(5), 5, 100)
+    monkeypatch.setattr(leakage.WalkHash, "keys", plain)
+    assert len(leakage.leaks(leakage.ItemIndex(items), texts, 20)) < 10
+
+
+def test_least_edits_brute():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = [rng.randrange(4) for _ in range(rng.randint(1, 9))], [rng.randrange(4) for _ in range(rng.randint(0, 14))]
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            row = [i] + [0] * len(b) if i == 0 else row
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert leakage.least_edits(a, b) == min(row)
+
+
+def test_scripts_without_spaces(spark):
+    item = "昨天下午三点左右一位顾客退回了两件有瑕疵的蓝色外套并要求全额退款"
+    docs = spark.createDataFrame([(1, "说明：" + item + "。"), (2, "前文" + item[:20] + "后文"), (3, item.replace("顾客", "买家").replace("蓝色", "红色")), (4, "今天没有任何退货")], "id bigint, text string")
+    items = spark.createDataFrame([(9, item)], "item bigint, body string")
+    got = {r.id: (r.covered, r.edits) for r in leakage.leaked_items(docs, "id", "text", items, "item", "body").collect()}
+    assert set(got) == {1, 2, 3} and got[1] == (len(item), 0) and got[3][1] == 3
+
+
+def test_long_tags():
+    assert leakage.words(f"a <b title='{'x' * 5000}'>b</b> c") == ["a", "b", "c"]
+
+
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
     docs = spark.createDataFrame([("a", ITEM)], "id string, text string")
     items = spark.createDataFrame([("i", ITEM), ("j", ITEM + " more"), ("k", "other words " * 9)], "item string, body string")
     assert {r.item for r in leakage.leaked_items(docs, "id", "text", items, "item", "body").collect()} == {"i", "j"}
