@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_id
-from millrace.session import materialise
+from millrace.session import materialise_bucketed
 
 NULL_KIND = "NULL"
 
@@ -55,8 +55,11 @@ def daily_cumulative(activities: DataFrame) -> DataFrame:
 
 
 def feature_store(activities: DataFrame) -> DataFrame:
-    """The cumulative store, written once: any number of instants and windows are endpoints read from it."""
-    return materialise(daily_cumulative(activities), "feature-store")
+    """The cumulative store, written once: any number of instants and windows are endpoints read from it.
+
+    It is bucketed by entity and kind, as its running sums left it, so that reading endpoints needs no shuffle.
+    """
+    return materialise_bucketed(daily_cumulative(activities), "feature_store", ["entity", "kind"], ["day"])
 
 
 def _endpoint(what: Column, day: Column) -> Column:

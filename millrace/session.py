@@ -57,6 +57,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+    """`materialise`, with rows of equal keys in one bucket and in order there: what groups by the keys needs no shuffle.
+
+    Write a df that is already partitioned by the keys, else each task writes a file for each bucket.
+    """
+    spark = df.sparkSession
+    at = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{work_dir(spark)}/{at}"
+    if not _written:
+        atexit.register(drop_work, spark)
+    _written.append(path)
+    df.write.bucketBy(shuffle_partitions(spark), *keys).sortBy(*keys, *order).option("path", path).saveAsTable(f"millrace_{at}")
+    return spark.table(f"millrace_{at}")
+
+
 def drop_work(spark: SparkSession) -> None:
     """Delete the work tables written so far. Results that were made from them can no longer be run."""
     paths, _written[:] = list(_written), []
