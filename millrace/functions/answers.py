@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whole answers that abstain.
-ABSTENTIONS = (r"unanswerable\.?", r"no answer\.?", r"n/?a\.?", r"not enough information\.?", r"(the )?(passage|context|text) does not (say|mention|state)( this| it)?\.?", r"(i )?(cannot|can't|do not|don't) (answer|know)( this question)?\.?", r"(this )?cannot be determined( from the (passage|context|text))?\.?")
+# Whole answers that abstain, as patterns on text with single spaces; letter case makes no difference.
+_LACKS = "specify state say mention provide contain include identify give indicate name tell explain describe confirm cover address reveal"
+ABSTENTIONS = (
+    r"(no[_ ]answer|unanswerable|unknown|n/?a) *[.!]*",
+    r"(i )?(do not|don't) know(\b.*)?",
+    r"(i )?(cannot|can't|am unable to) answer(\b.*)?",
+    r"(there is )?not enough (information|context)(\b.*)?",
+    r"(the )?answer (is )?(not (in|given by|provided by|stated in|mentioned in) (the )?(passage|context|text)|cannot be determined)(\b.*)?",
+    r"(the )?(passage|context|text)\b.*\b(does not|doesn't|doesnt|cannot|can't) (" + _LACKS.replace(" ", "|") + r")\b.*",
+)
+# Words that tell a negation, and words that tell a comparison.
+NEGATION = r"\b(no|not|never|without|cannot|doesn't|don't|isn't|aren't|lack|lacks|negative|unrelated)\b"
+COMPARISON = r"\b[0-9]+(\.[0-9]+)?\b|\b(percent|percentage|fold|rate|high|higher|low|lower|more|less|fewer|increase|decrease)\b"
 
 
 def collapse(c: Column) -> Column:
@@ -28,7 +39,9 @@ def normalize_answer(c: Column) -> Column:
 
 
 def is_abstention(c: Column) -> Column:
-    return F.coalesce(F.lower(collapse(c)).rlike("^(" + "|".join(ABSTENTIONS) + r")\z"), F.lit(False))
+    """Whether a whole answer declines; an empty one, or NULL, does."""
+    t = F.lower(collapse(F.coalesce(c, F.lit(""))))
+    return (t == "") | t.rlike("^(" + "|".join(ABSTENTIONS) + r")\z")
 
 
 def words(normalized: Column) -> Column:
@@ -49,12 +62,30 @@ def token_f1(prediction: Column, reference: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2 * same / (F.size(a) + F.size(b)))
 
 
+def score_answer(prediction: Column, references: Column, impossible: Column) -> Column:
+    """struct(em, f1, abstained): exact match and the best F1 over the references.
+
+    For an impossible question both tell whether the answer abstains. Elsewhere an abstention scores nothing, unless
+    it shares a word with a reference: then it holds an answer and is scored as one, and has not abstained.
+    """
+    p = normalize_answer(F.coalesce(prediction, F.lit("")))
+    abstains = is_abstention(prediction)
+    f1 = F.coalesce(F.array_max(F.transform(references, lambda r: token_f1(p, normalize_answer(r)))), F.lit(0.0))
+    em = F.coalesce(F.exists(references, lambda r: normalize_answer(r) == p), F.lit(False))
+    alone = abstains & (impossible | (f1 == 0.0))
+    return F.struct(
+        F.when(impossible, abstains).otherwise(em & ~alone).cast("int").alias("em"),
+        F.when(impossible, abstains.cast("double")).otherwise(F.when(alone, 0.0).otherwise(f1)).alias("f1"),
+        alone.alias("abstained"),
+    )
+
+
 def last_number(c: Column) -> Column:
-    """The number after a #### mark, else the last number, without thousands separators."""
-    number = r"(-?\d[\d,]*(?:\.\d+)?)"
-    marked = F.regexp_extract(c, r"####\s*" + number, 1)
-    every = F.regexp_extract_all(c, F.lit(number), 1)
-    return F.replace(F.coalesce(F.nullif(marked, F.lit("")), F.try_element_at(every, F.lit(-1))), F.lit(","), F.lit(""))
+    """The number after the last #### mark, else the last number that touches no letter, without thousands separators."""
+    number = r"\$?(-?\d[\d,]*(?:\.\d+)?)"
+    marked = F.try_element_at(F.regexp_extract_all(c, F.lit(r"####\s*" + number), 1), F.lit(-1))
+    every = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z])" + number + r"(?![A-Za-z])"), 1), F.lit(-1))
+    return F.replace(F.coalesce(marked, every), F.lit(","), F.lit(""))
 
 
 def canonical_number(text: Column) -> Column:
@@ -63,11 +94,15 @@ def canonical_number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(d, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+# A line that is an option letter, and a line that begins with one.
+LETTER_LINE = r"(?im)^\s*(?:answer\s*:\s*)?\(?([A-D])\)?[.)]?\s*$"
+LETTER_START = r"(?im)^\s*(?:answer\s*(?:is|:)\s*|option\s+)?\(?([A-D])\)?(?:[.)\s]|$)"
+
+
 def option_letter(c: Column) -> Column:
-    """A..D: the letter after 'answer is/:', else a letter that stands alone at the start."""
-    strict = F.upper(F.regexp_extract(c, r"(?i)answer\s*(?:is|:)?\s*\(?([A-D])\b", 1))
-    head = F.upper(F.regexp_extract(c, r"^\s*\(?([A-Da-d])\b", 1))
-    return F.coalesce(F.nullif(strict, F.lit("")), F.nullif(head, F.lit("")))
+    """A..D: the last line that is a letter alone, else the last line that begins with one."""
+    last = lambda pattern: F.upper(F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), 1), F.lit(-1)))
+    return F.coalesce(last(LETTER_LINE), last(LETTER_START))
 
 
 def sentences(c: Column, least: int = 30, most: int = 8) -> Column:
@@ -77,16 +112,27 @@ def sentences(c: Column, least: int = 30, most: int = 8) -> Column:
 
 
 def query_category(c: Column) -> Column:
-    return F.when(F.lower(c).rlike(r"\b(no|not|never|without|none)\b"), "negation").when(F.lower(c).rlike(r"\d|\b(more|less|higher|lower|greater|fewer|than)\b"), "numeric").otherwise("other")
+    t = F.lower(c)
+    return F.when(t.rlike(NEGATION), "negation").when(t.rlike(COMPARISON), "numeric_or_comparative").otherwise("other")
+
+
+# Units of amounts.
+UNITS = {"원": 1, "백만원": 1_000_000, "억원": 100_000_000}
 
 
 def amount(raw: Column, unit: Column) -> Column:
-    """A whole amount with strict thousands groups, at most 18 digits, times its unit; NULL for empty text and for what is no amount."""
+    """A whole amount with strict thousands groups, at most 18 digits in all, times its unit; NULL for empty text and for what is no amount."""
     t = F.trim(raw)
-    sound = t.rlike(r"^-?(\d{1,3}(,\d{3})+|\d{1,18})\z")
+    digits = F.replace(F.replace(t, F.lit(","), F.lit("")), F.lit("-"), F.lit(""))
+    sound = t.rlike(r"^-?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)\z") & (F.length(digits) <= 18)
     return F.when(sound, F.replace(t, F.lit(","), F.lit("")).try_cast("decimal(38,0)") * unit.cast("decimal(18,0)"))
 
 
+def unit_scale(unit: Column) -> Column:
+    """What one of a unit is worth; NULL for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), unit)
+
+
 def extract_sql(output: Column) -> Column:
     """The statement within a model's output, without code fences and a closing semicolon."""
     plain = F.regexp_replace(output, r"(?i)```(?:sql)?", "")

@@ -9,20 +9,20 @@ from millrace.operators.metrics import ratio
 
 
 def change_rate(old: Column, new: Column) -> Column:
-    """Change in percent; NULL from 0."""
-    return 100 * ratio(new - old, F.abs(old))
+    """Change in percent; NULL unless the old value is positive and the new one not negative."""
+    return F.when((old > 0) & (new >= 0), 100 * ratio(new - old, old))
 
 
 def price_earnings(market_value: Column, net_income: Column) -> Column:
-    """NULL unless there is income."""
-    return F.when(net_income > 0, ratio(market_value, net_income))
+    """NULL unless both are positive."""
+    return F.when((market_value > 0) & (net_income > 0), ratio(market_value, net_income))
 
 
 def pair_volatility(weight: Column, a: Column, b: Column, correlation: Column) -> Column:
-    """Volatility of two assets with weights w and 1 - w."""
+    """Volatility of two assets with weights w and 1 - w; NULL for values out of range."""
     rest = 1 - weight
     v = F.pow(weight * a, 2) + F.pow(rest * b, 2) + 2 * weight * rest * a * b * correlation
-    return F.sqrt(F.greatest(v, F.lit(0.0)))
+    return F.when(weight.between(0, 1) & (a >= 0) & (b >= 0) & correlation.between(-1, 1), F.sqrt(F.greatest(v, F.lit(0.0))))
 
 
 def proportion_difference(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column, Column]:

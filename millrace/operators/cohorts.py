@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import blank_to_null
 from millrace.operators.ordered import ntile
 
 
@@ -15,21 +16,22 @@ def moment(c: str) -> Column:
 
 
 def delivered_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Delivered orders with a purchase time, with the person who bought. Keys are compared as they stand."""
-    people = customers.select("customer_id", "customer_unique_id")
-    typed = orders.where((F.col("order_status") == "delivered") & blank_to_null("order_delivered_customer_date").isNotNull()).select(
+    """Delivered orders with a purchase time and a known person, the one who bought. Keys are compared as they stand."""
+    people = customers.where(F.col("customer_unique_id").isNotNull()).select("customer_id", "customer_unique_id")
+    typed = orders.where(F.col("order_status") == "delivered").select(
         "order_id", "customer_id", moment("order_purchase_timestamp").alias("purchase_ts"), moment("order_delivered_customer_date").alias("delivered_ts"), moment("order_estimated_delivery_date").alias("estimated_delivery_ts")
     )
     return typed.where(F.col("purchase_ts").isNotNull()).join(people, "customer_id")
 
 
 def order_value(payments: DataFrame) -> DataFrame:
-    """Paid sum and number of payments of each order."""
-    return payments.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.coalesce(F.sum(F.nullif("payment_value", F.lit("")).try_cast("decimal(14,2)")), F.lit(0)).cast("decimal(24,2)").alias("paid_value"), F.count(F.lit(1)).alias("n_payments"))
+    """Paid sum of each order; NULL where no payment has a value."""
+    return payments.groupBy("order_id").agg(F.sum(F.nullif("payment_value", F.lit("")).try_cast("decimal(14,2)")).cast("decimal(24,2)").alias("paid_value"))
 
 
 def customer_orders(delivered: DataFrame, value: DataFrame) -> DataFrame:
-    return delivered.join(value, "order_id", "left").withColumn("paid_value", F.coalesce("paid_value", F.lit(0)).cast("decimal(24,2)")).drop("n_payments")
+    """Delivered orders with their paid sum, 0 where there is none."""
+    return delivered.join(value, "order_id", "left").withColumn("paid_value", F.coalesce("paid_value", F.lit(0)).cast("decimal(24,2)"))
 
 
 def month(c: str) -> Column:
@@ -41,15 +43,15 @@ def months_between(a: Column, b: Column) -> Column:
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
 
 
-def identifier_effect(delivered: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """How the repeat rate depends on what is taken for the customer: one row per named key column."""
-    parts = [delivered.select(F.lit(name).alias("identifier"), F.col(c).cast("string").alias("id"), "order_id") for name, c in keys.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    per = every.where(F.col("id").isNotNull()).groupBy("identifier", "id").agg(F.count_distinct("order_id").alias("n"))
+def identifier_effect(populations: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """How the repeat rate depends on what is taken for the customer: a row per population of orders and key column.
+
+    A NULL key is a customer like any other.
+    """
+    every = reduce(DataFrame.unionByName, [rows.select(F.lit(p).alias("population"), F.lit(name).alias("identifier"), F.col(c).cast("string").alias("id"), "order_id") for p, rows in populations.items() for name, c in keys.items()])
+    per = every.groupBy("population", "identifier", "id").agg(F.count_distinct("order_id").alias("n"))
     repeat = F.count_if(F.col("n") > 1)
-    return per.groupBy("identifier").agg(F.count(F.lit(1)).alias("n_customers"), repeat.alias("n_repeat"), F.round(repeat / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("repeat_rate"))
+    return per.groupBy("population", "identifier").agg(F.count(F.lit(1)).alias("n_customers"), repeat.alias("n_repeat"), F.round(repeat / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("repeat_rate"))
 
 
 def retention_grid(buys: DataFrame, customer: str, order: str, ts: str) -> DataFrame:
@@ -65,7 +67,7 @@ def retention_grid(buys: DataFrame, customer: str, order: str, ts: str) -> DataF
     sizes = counts.where(F.col("cohort") == F.col("month")).select("cohort", F.col("n").alias("cohort_size"))
     spine = sizes.select("cohort", "cohort_size", F.explode(F.sequence("cohort", last, F.expr("interval 1 month"))).alias("month"))
     grid = spine.join(counts, ["cohort", "month"], "left").withColumn("n_active", F.coalesce("n", F.lit(0)))
-    return grid.select("cohort", months_between(F.col("cohort"), F.col("month")).alias("month_no"), "cohort_size", "n_active", F.round(F.col("n_active") / F.nullif("cohort_size", F.lit(0)), 6).alias("retention"))
+    return grid.select("cohort", "month", months_between(F.col("cohort"), F.col("month")).alias("month_no"), "cohort_size", "n_active", F.round(F.col("n_active") / F.nullif("cohort_size", F.lit(0)), 6).alias("retention"))
 
 
 def metric_tree(buys: DataFrame, customer: str, order: str, ts: str, value: str) -> DataFrame:
@@ -74,28 +76,33 @@ def metric_tree(buys: DataFrame, customer: str, order: str, ts: str, value: str)
     m = m.where(F.col("month").isNotNull()).withColumns({"orders_per_customer": F.col("orders") / F.nullif("customers", F.lit(0)), "value_per_order": F.col("revenue") / F.nullif("orders", F.lit(0))})
     w = Window.orderBy("month")  # one row per month
     parts = ["customers", "orders_per_customer", "value_per_order", "revenue"]
-    return m.withColumns({f"prev_{p}": F.lag(p).over(w) for p in parts})
+    return m.withColumns({f"prev_{p}": F.lag(p).over(w) for p in ["month", *parts]})
 
 
-def revenue_decomposition(tree: DataFrame) -> DataFrame:
-    """Log changes of revenue and of its three factors, which add up to it."""
-    logs = {f"log_{p}": F.when((F.col(p) > 0) & (F.col(f"prev_{p}") > 0), F.log(F.col(p) / F.col(f"prev_{p}"))) for p in ("revenue", "customers", "orders_per_customer", "value_per_order")}
-    out = tree.select("month", *[c.alias(n) for n, c in logs.items()])
+def revenue_decomposition(tree: DataFrame, months: DataFrame) -> DataFrame:
+    """Log changes of revenue and of its three factors, which add up to it, over the given months (of `complete_months`)."""
+    parts = ("revenue", "customers", "orders_per_customer", "value_per_order")
+    w = Window.orderBy("month")  # one row per month
+    rows = tree.join(F.broadcast(months.select("month")), "month").withColumns({f"prev_{p}": F.lag(p).over(w) for p in parts})
+    logs = {f"log_{p}": F.when((F.col(p) > 0) & (F.col(f"prev_{p}") > 0), F.log(F.col(p) / F.col(f"prev_{p}"))) for p in parts}
+    out = rows.where(F.col("prev_revenue").isNotNull()).select("month", (F.col("revenue") / F.nullif("prev_revenue", F.lit(0.0)) - 1).alias("change_rate"), *[c.alias(n) for n, c in logs.items()])
     gap = F.abs(F.col("log_revenue") - F.col("log_customers") - F.col("log_orders_per_customer") - F.col("log_value_per_order"))
-    return out.withColumn("reconciles", gap < 1e-8).where(F.col("log_revenue").isNotNull())
+    return out.withColumn("reconciles", gap < 1e-8)
 
 
 def complete_months(counts: DataFrame, least: int, run: int = 3) -> DataFrame:
-    """Months from the first of `run` consecutive calendar months with at least `least` orders on, without the last month."""
+    """Months from the first of `run` consecutive calendar months with at least `least` orders on.
+
+    The last month of all may not be over: it is left out before runs are looked for.
+    """
     w = Window.orderBy("month_no")  # one row per month
-    good = F.col("n") >= least
-    m = counts.withColumn("month_no", F.year("month") * 12 + F.month("month"))
-    ok = good
+    whole = Window.partitionBy(F.lit(1))
+    m = counts.withColumn("month_no", F.year("month") * 12 + F.month("month")).withColumn("_last", F.max("month_no").over(whole)).where(F.col("month_no") < F.col("_last"))
+    ok = F.col("n") >= least
     for k in range(1, run):
         ok = ok & (F.lead("n", k).over(w) >= least) & (F.lead("month_no", k).over(w) == F.col("month_no") + k)
-    m = m.withColumn("_starts", ok)
-    span = m.withColumns({"_first": F.min(F.when(F.col("_starts"), F.col("month_no"))).over(Window.partitionBy(F.lit(1))), "_last": F.max("month_no").over(Window.partitionBy(F.lit(1)))})
-    return span.where((F.col("month_no") >= F.col("_first")) & (F.col("month_no") < F.col("_last"))).select("month", "n")
+    m = m.withColumn("_starts", ok).withColumn("_first", F.min(F.when(F.col("_starts"), F.col("month_no"))).over(whole))
+    return m.where(F.col("month_no") >= F.col("_first")).select("month", "n")
 
 
 def rfm(buys: DataFrame, customer: str, order: str, ts: str, value: str) -> DataFrame:
@@ -108,28 +115,29 @@ def rfm(buys: DataFrame, customer: str, order: str, ts: str, value: str) -> Data
     per = per.withColumn("recency_days", F.date_diff(anchor, F.to_date("last_ts")))
     per = ntile(per, [F.col("recency_days").desc(), F.col("customer")], 5, "r_score")
     per = ntile(per, [F.col("monetary").asc(), F.col("customer")], 5, "m_score")
-    f_score = F.when(F.col("frequency") == 1, 1).when(F.col("frequency") == 2, 3).otherwise(5)
+    f_score = F.when(F.col("frequency") == 1, 1).otherwise(5)
     per = per.withColumn("f_score", f_score.cast("int"))
     return per.select("customer", "recency_days", "frequency", F.round("monetary", 2).alias("monetary"), "r_score", "f_score", "m_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]).alias("code"))
 
 
 def rfm_profile(scored: DataFrame) -> DataFrame:
-    segment = F.when((F.col("r_score") >= 4) & (F.col("f_score") >= 3), "loyal recent").when(F.col("r_score") >= 4, "recent").when(F.col("f_score") >= 3, "loyal lapsed").otherwise("lapsed")
-    return scored.groupBy(segment.alias("segment")).agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("recency_days"), 6).alias("avg_recency"), F.round(F.avg("monetary"), 4).alias("avg_monetary"), F.round(F.count_if(F.col("frequency") > 1) / F.count(F.lit(1)), 6).alias("repeat_share"))
+    """Customers, averages and repeat rate of each code."""
+    n = F.count(F.lit(1))
+    return scored.groupBy("code", "r_score", "f_score", "m_score").agg(n.alias("customers"), F.round(F.avg("recency_days"), 6).alias("avg_recency"), F.round(F.avg("frequency"), 6).alias("avg_frequency"), F.round(F.avg("monetary"), 4).alias("avg_monetary"), F.round(F.count_if(F.col("frequency") > 1) / n, 6).alias("repeat_rate"))
 
 
 def survival_input(buys: DataFrame, customer: str, order: str, ts: str) -> DataFrame:
-    """Days from first to second order of each customer, or to the end of observation without one (at least 0).
+    """Days from first to second purchase of each customer, or to the last purchase of all without one; at least 1.
 
-    The two earliest orders are picked by aggregation, so a customer with any number of orders is no burden.
+    Rows count, so an order that is stated twice is two purchases. The two earliest are picked by a ranking that stops
+    at two per customer before the shuffle, so a customer with any number of orders is no burden.
     """
-    orders = buys.where(F.col(customer).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(customer).alias("customer"), F.col(order).alias("order")).agg(F.min(ts).alias("ts"))
-    firsts = orders.groupBy("customer").agg(F.min(F.struct("ts", "order")).alias("one"))
-    rest = orders.join(firsts, "customer").where(F.struct("ts", "order") > F.col("one")).groupBy("customer").agg(F.min("ts").alias("second_ts"))
-    end = orders.agg(F.max("ts").alias("e")).scalar()
-    both = firsts.join(rest, "customer", "left").select("customer", F.col("one.ts").alias("first_ts"), "second_ts")
-    stop = F.coalesce("second_ts", end)
-    return both.select("customer", F.greatest(F.date_diff(F.to_date(stop), F.to_date("first_ts")), F.lit(0)).alias("duration_days"), F.col("second_ts").isNotNull().alias("event"))
+    rows = buys.where(F.col(customer).isNotNull() & F.col(ts).isNotNull()).select(F.col(customer).alias("customer"), F.col(order).alias("order"), F.col(ts).alias("ts"))
+    w = Window.partitionBy("customer").orderBy("ts", "order")
+    two = rows.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    both = two.groupBy("customer").agg(F.min(F.when(F.col("k") == 1, F.col("ts"))).alias("first_ts"), F.min(F.when(F.col("k") == 2, F.col("ts"))).alias("second_ts"))
+    stop = F.coalesce("second_ts", rows.agg(F.max("ts").alias("e")).scalar())
+    return both.select("customer", F.greatest(F.date_diff(F.to_date(stop), F.to_date("first_ts")), F.lit(1)).alias("duration_days"), F.col("second_ts").isNotNull().alias("event"))
 
 
 def kaplan_meier(times: DataFrame, duration: str, event: str) -> DataFrame:
@@ -143,22 +151,37 @@ def kaplan_meier(times: DataFrame, duration: str, event: str) -> DataFrame:
     return at.withColumn("survival", F.round(F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(step).over(past))), 6)).where("d > 0").select("day", "d", "at_risk", "survival")
 
 
-def first_order_experience(buys: DataFrame) -> DataFrame:
-    """Each customer's first order, whether it came late, and whether another one followed."""
+def survival_summary(curve: DataFrame, days: list[int]) -> DataFrame:
+    """One row: survival at each of some days (1 before the first event) and the first day at or below one half."""
+    at = [F.coalesce(F.max_by("survival", F.when(F.col("day") <= d, F.col("day"))), F.lit(1.0)).alias(f"survival_{d}") for d in days]
+    return curve.agg(*at, F.min(F.when(F.col("survival") <= 0.5, F.col("day"))).alias("median_day"))
+
+
+def first_order_experience(buys: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(customer_unique_id, repurchased, review_score, delivery_delayed) of each customer's first order.
+
+    The first order by time, then id; orders without a delivery or an estimate are left out after that. review_score
+    is the mean of the order's reviews (order_id, review_score as text), NULL without any.
+    """
     rows = buys.where(F.col("customer_unique_id").isNotNull())
     first = F.min(F.struct("purchase_ts", "order_id", "delivered_ts", "estimated_delivery_ts")).alias("f")
-    per = rows.groupBy("customer_unique_id").agg(first, F.count_distinct("order_id").alias("n"))
-    late = F.coalesce(F.col("f.delivered_ts") > F.col("f.estimated_delivery_ts"), F.lit(False))
-    return per.select("customer_unique_id", F.col("f.order_id").alias("order_id"), late.alias("late"), F.date_diff(F.to_date("f.delivered_ts"), F.to_date("f.purchase_ts")).alias("delivery_days"), (F.col("n") > 1).alias("repeated"))
+    per = rows.groupBy("customer_unique_id").agg(first, (F.count_distinct("order_id") > 1).alias("repurchased"))
+    per = per.select("customer_unique_id", "repurchased", "f.order_id", "f.delivered_ts", "f.estimated_delivery_ts").where(F.col("delivered_ts").isNotNull() & F.col("estimated_delivery_ts").isNotNull())
+    mean = reviews.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.avg(F.nullif("review_score", F.lit("")).try_cast("double")).alias("review_score"))
+    return per.join(mean, "order_id", "left").select("customer_unique_id", "repurchased", F.round("review_score", 6).alias("review_score"), (F.col("delivered_ts") > F.col("estimated_delivery_ts")).alias("delivery_delayed"))
 
 
-def category_profile(lines: DataFrame, least: int) -> DataFrame:
-    """Of each category of a first order's costliest item: customers and their repeat rate, categories of at least `least` only.
+def category_profile(orders: DataFrame, items: DataFrame, products: DataFrame, names: DataFrame, least: int) -> DataFrame:
+    """Customers and repeat rate by the category that they spent most on in their first order, categories of at least `least` customers.
 
-    lines: customer, order, ts, category, price. Ties by price go to the smaller category.
+    orders: customer, order, ts; items: order, product, price; products: product, category; names: category, name. A
+    category goes by its name if it has one, else as it stands, else as unknown. Prices are summed by order and
+    category; of equal sums the smaller category counts.
     """
-    firsts = lines.groupBy("customer").agg(F.min(F.struct("ts", "order")).alias("f"), F.count_distinct("order").alias("n"))
-    mine = lines.join(firsts, "customer").where(F.struct("ts", "order") == F.col("f"))
-    top = mine.groupBy("customer", "n").agg(F.min(F.struct((-F.col("price")).alias("p"), "category")).alias("t"))
-    out = top.groupBy(F.col("t.category").alias("category")).agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("n") > 1).alias("repeaters"))
+    named = products.join(names, "category", "left").select("product", F.coalesce("name", "category", F.lit("unknown")).alias("category"))
+    spent = items.join(named, "product").groupBy("order", "category").agg(F.sum("price").alias("value"))
+    mine = orders.join(spent, "order").groupBy("customer", "order", "ts", "category").agg(F.sum("value").alias("value"))
+    first = mine.groupBy("customer").agg(F.min(F.struct("ts", (-F.col("value")).alias("v"), "category")).alias("f"))
+    repeat = orders.groupBy("customer").agg((F.count_distinct("order") > 1).alias("repurchased"))
+    out = first.join(repeat, "customer").groupBy(F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("customers"), F.count_if("repurchased").alias("repeaters"))
     return out.where(F.col("customers") >= least).withColumn("repeat_rate", F.round(F.col("repeaters") / F.col("customers"), 6))

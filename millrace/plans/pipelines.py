@@ -112,7 +112,7 @@ SQL = {
     "parquet_prefix": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10",
     "partitioned_write": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
     "key_violations": "SELECT customer_id, count(*) AS n FROM raw_customers WHERE customer_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "amounts": "WITH p AS (SELECT payment_type, trim(replace(payment_value, '.', '')) AS v FROM raw_order_payments WHERE payment_value IS NOT NULL), a AS (SELECT payment_type, CASE WHEN regexp_full_match(v, '-?([0-9]{1,3}(,[0-9]{3})+|[0-9]{1,18})') THEN CAST(replace(v, ',', '') AS decimal(38,0)) END AS a FROM p) SELECT payment_type, sum(a) AS total, count(*) - count(a) AS n_bad FROM a GROUP BY 1",
+    "amounts": "WITH p AS (SELECT payment_type, trim(replace(payment_value, '.', '')) AS v FROM raw_order_payments WHERE payment_value IS NOT NULL), a AS (SELECT payment_type, CASE WHEN regexp_full_match(v, '-?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)') AND length(replace(replace(v, ',', ''), '-', '')) <= 18 THEN CAST(replace(v, ',', '') AS decimal(38,0)) END AS a FROM p) SELECT payment_type, sum(a) AS total, count(*) - count(a) AS n_bad FROM a GROUP BY 1",
     "question_forms": r"SELECT DISTINCT trim(regexp_replace(lower(question), '[ \t\n\r\f\v]+', ' ', 'g')) AS normal, regexp_replace(lower(question), '[^a-z0-9]', '', 'g') AS canonical FROM qa_examples WHERE question IS NOT NULL",
     "stream_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS start FROM events) GROUP BY 1",

@@ -141,11 +141,8 @@ def _pairs(s, d):
 
 
 def _scores(s, d):
-    p = A.normalize_answer(F.col("answer"))
-    abst = A.is_abstention(F.col("answer"))
-    f1 = F.coalesce(F.array_max(F.transform("refs", lambda r: A.token_f1(p, A.normalize_answer(r)))), F.lit(0.0))
-    em = F.coalesce(F.exists("refs", lambda r: A.normalize_answer(r) == p), F.lit(False))
-    return _pairs(s, d).select("question_id", "version", abst.alias("abstains"), F.when(F.col("impossible"), abst).otherwise(em & ~abst).cast("int").alias("em"), F.when(F.col("impossible"), abst.cast("double")).otherwise(F.when(abst, 0.0).otherwise(f1)).alias("f1"), "impossible")
+    scored = _pairs(s, d).withColumn("x", A.score_answer(F.col("answer"), F.col("refs"), F.col("impossible")))
+    return scored.select("question_id", "version", "impossible", F.col("x.abstained").alias("abstains"), "x.em", "x.f1")
 
 
 def squad_scores(s, d):
@@ -168,9 +165,16 @@ def method_sets(s, d):
 
 
 def numeric_answers(s, d):
-    qa = table(s, d, "qa_examples").where(F.col("question_id").isNotNull()).dropDuplicates(["question_id"])
-    text = F.coalesce("answer_a", F.lit(""))
-    return qa.select("question_id", A.canonical_number(A.last_number(text)).alias("number"), A.option_letter(text).alias("letter"), A.query_category(F.col("question")).alias("category"))
+    return _pairs(s, d).select("question_id", "version", A.canonical_number(A.last_number(F.col("answer"))).alias("number"))
+
+
+def answer_letters(s, d):
+    return _pairs(s, d).select("question_id", "version", A.option_letter(F.col("answer")).alias("letter"))
+
+
+def question_categories(s, d):
+    qa = table(s, d, "qa_examples").where(F.col("question").isNotNull()).select("question").distinct()
+    return qa.select("question", A.query_category(F.col("question")).alias("category"))
 
 
 def sentence_split(s, d):
@@ -178,7 +182,7 @@ def sentence_split(s, d):
     return t.select("doc_id", F.size("x").alias("n"), F.length(F.element_at("x", 1)).alias("first_length"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_windows, bm25_run, bm25_run_all, parent_collapse, parent_collapse_all, dense_run, rrf_run, rerank_run, retrieval_metrics, retrieval_macro, recall_gate, query_overlap, graded_ndcg, squad_scores, paired_summary, method_sets, numeric_answers, sentence_split)}
+QUERIES = {f.__name__: f for f in (chunk_windows, bm25_run, bm25_run_all, parent_collapse, parent_collapse_all, dense_run, rrf_run, rerank_run, retrieval_metrics, retrieval_macro, recall_gate, query_overlap, graded_ndcg, squad_scores, paired_summary, method_sets, numeric_answers, answer_letters, question_categories, sentence_split)}
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -215,13 +219,14 @@ def _metrics_sql(run: str) -> str:
 _QA = r"""
 one AS (SELECT question_id, any_value(answers) AS answers, any_value(impossible) AS impossible, any_value(answer_a) AS answer_a, any_value(answer_b) AS answer_b, any_value(question) AS question FROM qa_examples WHERE question_id IS NOT NULL GROUP BY 1),
 pairs AS (SELECT question_id, 'a' AS version, coalesce(answer_a, '') AS answer, answers, coalesce(impossible, false) AS impossible FROM one UNION ALL SELECT question_id, 'b', coalesce(answer_b, ''), answers, coalesce(impossible, false) FROM one),
-prep AS (SELECT *, regexp_full_match(lower(trim(regexp_replace(answer, '[ \t\n\r\f\v]+', ' ', 'g'))), '""" + "|".join(a.replace("'", "''") for a in A.ABSTENTIONS) + r"""') AS abstains,
+prep AS (SELECT *, regexp_full_match(lower(trim(regexp_replace(answer, '[ \t\n\r\f\v]+', ' ', 'g'))), '|""" + "|".join(a.replace("'", "''") for a in A.ABSTENTIONS) + r"""') AS abstains,
   trim(regexp_replace(regexp_replace(regexp_replace(lower(answer), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS p FROM pairs),
 refs AS (SELECT question_id, version, list_filter(string_split(p, ' '), lambda w: w <> '') AS a, p, unnest(list_filter(coalesce(answers, []), lambda x: x IS NOT NULL)) AS r0 FROM prep),
 rn AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(r0), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS r FROM refs),
 rf AS (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS b FROM rn),
 best AS (SELECT question_id, version, bool_or(p = r) AS em, max(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(len(a) = len(b) AS double) ELSE 2.0 * list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda y: y = w))))) / (len(a) + len(b)) END) AS f1 FROM rf GROUP BY 1, 2),
-scores AS (SELECT question_id, version, impossible, abstains, CAST(CASE WHEN impossible THEN abstains ELSE coalesce(em, false) AND NOT abstains END AS integer) AS em, CASE WHEN impossible THEN CAST(abstains AS double) WHEN abstains THEN 0 ELSE coalesce(f1, 0) END AS f1 FROM prep LEFT JOIN best USING (question_id, version)),
+scores AS (SELECT question_id, version, impossible, abstains AND (impossible OR coalesce(f1, 0) = 0) AS abstains, CAST(CASE WHEN impossible THEN abstains ELSE coalesce(em, false) AND NOT (abstains AND coalesce(f1, 0) = 0) END AS integer) AS em,
+  CASE WHEN impossible THEN CAST(abstains AS double) ELSE coalesce(f1, 0) END AS f1 FROM prep LEFT JOIN best USING (question_id, version)),
 wide AS (SELECT question_id, any_value(impossible) AS impossible, max(f1) FILTER (WHERE version = 'a') AS a, max(f1) FILTER (WHERE version = 'b') AS b, max(em) FILTER (WHERE version = 'a') AS ea, max(em) FILTER (WHERE version = 'b') AS eb FROM scores GROUP BY 1)"""
 _DOCS = f"docs AS (SELECT doc_id AS doc, {_TOKENS.format('text')} AS words FROM documents WHERE text IS NOT NULL)"
 _CHUNKS = f"""toks AS (SELECT doc_id AS doc, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents),
@@ -248,6 +253,10 @@ SQL = {
       g AS (SELECT qid, count(*) FILTER (WHERE grade > 0 AND place <= 10) / count(*) FILTER (WHERE grade > 0) AS recall, coalesce(1.0 / min(CASE WHEN grade > 0 AND place <= 10 THEN place END), 0) AS mrr,
         coalesce(sum(CASE WHEN grade > 0 AND place <= 10 THEN (pow(2, grade) - 1) / log2(place + 1) END) / sum(CASE WHEN grade > 0 AND best <= 10 THEN (pow(2, grade) - 1) / log2(best + 1) END), 0) AS ndcg FROM r GROUP BY 1 HAVING count(*) FILTER (WHERE grade > 0) > 0)
       SELECT qid, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM g""",
+    "answer_letters": f"WITH {_QA} SELECT question_id, version, upper(coalesce(regexp_extract_all(answer, '{A.LETTER_LINE}', 1)[-1], regexp_extract_all(answer, '{A.LETTER_START}', 1)[-1])) AS letter FROM pairs",
+    "question_categories": "SELECT DISTINCT question, CASE WHEN regexp_matches(lower(question), '" + A.NEGATION.replace("'", "''") + "') THEN 'negation' WHEN regexp_matches(lower(question), '" + A.COMPARISON + "') THEN 'numeric_or_comparative' ELSE 'other' END AS category FROM qa_examples WHERE question IS NOT NULL",
+    "sentence_split": r"""WITH x AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 30)[:8] AS l FROM documents WHERE text IS NOT NULL),
+      y AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [text] ELSE l END AS l FROM x) SELECT doc_id, CAST(len(l) AS integer) AS n, CAST(length(l[1]) AS integer) AS first_length FROM y""",
     "squad_scores": f"WITH {_QA} SELECT question_id, version, abstains, em, round(f1, 6) AS f1 FROM scores",
     "paired_summary": f"WITH {_QA} SELECT CASE WHEN grouping(impossible) = 1 THEN 'all' WHEN impossible THEN 'impossible' ELSE 'answerable' END AS segment, count(*) AS n, round(avg(a), 6) AS f1_a, round(avg(b), 6) AS f1_b, round(avg(b - a), 6) AS gain, round(avg(b - a) / (stddev_samp(b - a) / sqrt(count(*))), 4) AS t FROM wide GROUP BY ROLLUP (impossible)",
     "method_sets": f"WITH {_QA} SELECT CASE WHEN ea = 0 AND eb = 0 THEN 'all wrong' WHEN eb = 0 THEN 'only a' WHEN ea = 0 THEN 'only b' ELSE 'both right' END AS kind, count(*) AS n FROM wide GROUP BY 1",

@@ -138,7 +138,7 @@ def test_answers(spark):
     assert one(spark, A.normalize_answer(F.col("x")), " The  Cat's, a hat! ") == "cats hat"
     assert one(spark, A.token_f1(F.lit("a b b"), F.lit("b b c")), "") == pytest.approx(2 / 3)
     assert one(spark, A.canonical_number(A.last_number(F.col("x"))), "it is 3 then #### 1,250.50 ok 7") == "1250.5"
-    assert one(spark, A.option_letter(F.col("x")), "The answer is (c).") == "C"
+    assert one(spark, A.option_letter(F.col("x")), "Answer is (c).") == "C"
     assert one(spark, A.is_abstention(F.col("x")), "Not enough information.") and not one(spark, A.is_abstention(F.col("x")), "no answer given here")
     assert one(spark, A.extract_sql(F.col("x")), "Sure:\n```sql\nSELECT 1;\n```") == "SELECT 1"
     cents = lambda x: one(spark, A.amount(F.col("x"), F.lit(1_000_000)), x)
