@@ -14,6 +14,9 @@ from millrace.session import materialise, spread
 
 #: Shortened forms up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_FORMS = 200_000
+#: A token count is a length limit if its unfinished answers exceed those of the counts around it by so many standard
+#: deviations of a Poisson count (and are five times as many).
+SPIKE = 6
 
 # Ways to decline or to say that the answer is not given, by language.
 REFUSALS = {
@@ -38,8 +41,22 @@ SMALL_WORDS = {
     "pt": "o os as um uma do da dos das no na nos nas é são foi foram que qual quais quanto não pelo pela ao à em com por para porque segundo texto depois hoje mais seu sua se uma pratica vale e",
     "es": "el los las un una del al lo y es son fue fueron qué cuál cuáles cuánto no por para porque según texto tras hoy más su sus se con en tiene que la le como sobre pasaje e",
 }
+# Frequent small words of further languages; only those that no language above has count there.
+MORE_WORDS = {
+    "fr": "le les des du et est une un dans pour que qui pas sur avec par au aux ce cette sont été mais ou où il elle ils nous vous leur ses son sa plus même être avait ont à selon après parce",
+    "de": "der die das und ist nicht ein eine einer eines einem einen zu den dem mit von auf für im sich des auch nach wie wird wurde aus bei oder war sind hat haben nur noch über weil durch als",
+    "it": "il lo gli di che non è una per del della dei delle nel nella con sono più ha hanno questo questa anche come si alla dal perché stato stata dopo secondo loro",
+    "nl": "de het een van en is niet dat met voor op te zijn aan er ook bij naar wordt door werd maar uit over omdat heeft hebben was volgens deze dit",
+}
+# Letters by script, each script standing for its languages.
+SCRIPTS = {"zh": "一-鿿㐀-䶿", "ja": "ぁ-ヿ", "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽ", "arabic": "\u0600-ۿ", "hebrew": "\u0590-\u05ff", "devanagari": "\u0900-ॿ", "thai": "\u0e00-\u0e7f"}
+_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+_UNSPACED = re.compile("[" + "".join(SCRIPTS[k] for k in ("zh", "ja", "thai")) + "]")  # each letter counts as a word
+# Words that add nothing before or after a repeated question.
+FILLERS = frozenset("so well ok okay hmm um yes please thanks então bem pois ora sim certo obrigado pues bueno entonces vale sí claro gracias 그럼 그러면 음 네 그래서".split())
 _SMALL = {lang: frozenset(w.split()) for lang, w in SMALL_WORDS.items()}
 _ONLY = {lang: w - frozenset().union(*(o for k, o in _SMALL.items() if k != lang)) for lang, w in _SMALL.items()}
+_MORE = {lang: frozenset(w.split()) - frozenset().union(*_SMALL.values()) for lang, w in MORE_WORDS.items()}
 # Words that cannot end a sentence.
 DANGLING = frozenset("the a an of in on at by for with from to and or that which who because as is are was were its their than into o os um uma do da dos das no na em com por para e que é porque pelo pela de el los las un una del al y es por según la le su sin ou or nor if when while".split())
 # Syllables that a Korean sentence can end with.
@@ -63,7 +80,11 @@ def bare(text: str) -> str:
 
 
 def language(text: str, title: str = "") -> str | None:
-    """en, pt, es or ko, or None where the words don't tell. The title, a name, says nothing about the language."""
+    """The language, or the script of a third of the letters; None where the words don't tell.
+
+    Scripts first, then small words of English, Portuguese and Spanish, unless those of a further language are far
+    more. The title, a name, says nothing about the language.
+    """
     t = norm(text)
     if title:
         t = t.replace(norm(title), " ")
@@ -71,10 +92,21 @@ def language(text: str, title: str = "") -> str | None:
     hangul = len(_HANGUL.findall(t))
     if hangul and hangul * 3 >= len(letters):
         return "ko"
+    own = {k: len(r.findall(t)) for k, r in _SCRIPTS.items()} if not t.isascii() else {}
+    if own and 3 * sum(own.values()) >= len(letters) > 0:
+        top = max(own, key=lambda k: own[k])
+        if top in ("zh", "ja"):  # Japanese has Chinese characters too
+            top = "ja" if 10 * own["ja"] >= own["zh"] + own["ja"] else "zh"
+        if 3 * (own["zh"] + own["ja"] if top in ("zh", "ja") else own[top]) >= len(letters):
+            return top
     w = _WORD.findall(t)
     score = {k: sum(x in _SMALL[k] for x in w) + 2 * sum(x in _ONLY[k] for x in w) for k in _SMALL}
     score["pt"] += 3 * len(re.findall("[ãõ]|ç[aoãõ]|ê|ô", t))
     score["es"] += 3 * len(re.findall("[ñ¿¡]|ción|ó\\b", t))
+    more = {k: 3 * sum(x in own_words for x in w) for k, own_words in _MORE.items()}
+    foreign = max(more, key=lambda k: more[k])
+    if more[foreign] >= 6 and more[foreign] >= 1.5 * max(score.values()) + 2 and 3 * sum(more[k] == more[foreign] for k in more) <= 3:
+        return foreign
     first, second, *_ = sorted(score, key=lambda k: -score[k])
     return first if score[first] >= 3 and score[first] >= 1.3 * score[second] + 1 else None
 
@@ -95,15 +127,26 @@ def declines(answer: str, question: str, accepted: list[str]) -> bool:
     return not any(b and b in mine for b in map(bare, accepted))
 
 
+def _core(text: str) -> str:
+    """Letters and digits, without fillers at the ends."""
+    w = _WORD.findall(text.casefold())
+    while w and w[0] in FILLERS:
+        w.pop(0)
+    while w and w[-1] in FILLERS:
+        w.pop()
+    return "".join(w)
+
+
 def copies(answer: str, question: str) -> bool:
-    """Whether the answer says nothing but the question, once or more, with or without a label before it."""
+    """Whether the answer says nothing but the question, once or more, with or without a label or fillers around it."""
     a, q = bare(answer), bare(question)
     if not a or not q:
         return False
     for x in (a, _LABEL.sub("", a)):
         if len(x) % len(q) == 0 and x == q * (len(x) // len(q)):
             return True
-    return False
+    core = _core(question)
+    return bool(core) and core in (_core(answer), _core(_LABEL.sub("", answer.casefold().strip())))
 
 
 def form(answer: str, question: str, title: str | None, whole_words: bool = False) -> tuple[str, bool]:
@@ -141,7 +184,7 @@ def judge(answer: str | None, question: str | None, title: str | None, accepted:
         return (None if impossible else "empty"), "", True, False
     if copies(text, question):
         return "copy", "", True, False
-    n_words = len(_WORD.findall(text))
+    n_words = len(_WORD.findall(text)) + (0 if text.isascii() else len(_UNSPACED.findall(text)))
     mine, theirs = language(text, title or ""), language(question, title or "")
     foreign = mine is not None and theirs is not None and mine != theirs and n_words >= 4
     if declines(text, question, accepted):
@@ -236,7 +279,7 @@ def answer_defects(df: DataFrame, row_id: str, question: str, title: str, answer
     judged = materialise(spread(df.select(*cols)).mapInArrow(classify, f"id {kind}, field string, defect string, form string, plain string, closed boolean, value boolean, tokens bigint"), "answers")
     both = judged.where(F.col("form") != "").select(F.explode(F.array_distinct(F.array("form", "plain"))).alias("form"), "closed")
     forms = both.groupBy("form").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
-    short = shortened_forms(forms)
+    short = materialise(shortened_forms(forms), "short-forms")
     if short.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
         short = F.broadcast(short)
     pending = judged.where(F.col("defect").isNull() & ~F.col("closed") & ~F.col("value") & (F.col("form") != ""))
@@ -246,7 +289,7 @@ def answer_defects(df: DataFrame, row_id: str, question: str, title: str, answer
     unfinished = judged.where(~F.col("closed") & ~F.col("value") & (F.col("form") != "")).join(finished, "form", "left_anti")
     hist = unfinished.where(F.col("tokens").isNotNull()).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
     around = Window.orderBy("tokens").rangeBetween(-8, 8)  # one row per token count
-    spikes = hist.withColumn("others", (F.sum("n").over(around) - F.col("n")) / 16).where((F.col("n") >= 10) & (F.col("n") > 5 * F.col("others"))).select("tokens")
+    spikes = hist.withColumn("others", (F.sum("n").over(around) - F.col("n")) / 16).where((F.col("n") > 5 * F.col("others")) & (F.col("n") >= F.col("others") + SPIKE * F.sqrt(F.col("others") + 1))).select("tokens")
     limited = pending.join(finished, "form", "left_anti").join(F.broadcast(spikes), "tokens", "left_semi")
     own = judged.where(F.col("defect").isNotNull()).select("id", "field", "defect")
     texts = F.filter(F.coalesce("acc", F.array().cast("array<string>")), lambda x: x.rlike(r"[\p{L}\p{N}]"))

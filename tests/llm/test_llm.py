@@ -106,7 +106,17 @@ KO = "Orbo Mills의 배송비는 얼마입니까?"
         (Q, Q, "copy"),
         (Q, f"**{Q.upper()}** {Q}", "copy"),
         (Q, f"Q: {Q}", "copy"),
+        (Q, f"So {Q[0].lower()}{Q[1:]}", "copy"),
+        (Q, f"{Q} Well, ok.", "copy"),
         (Q, f"{Q} 12 euros.", None),
+        (Q, "Orbo Mills的运费是12欧元，因为合同在1999年续签。", "other_language"),
+        (Q, "Orbo Millsの配送料は12ユーロです。契約が更新されたためです。", "other_language"),
+        (Q, "Стоимость доставки Orbo Mills составляет 12 евро.", "other_language"),
+        (Q, "Die Liefergebühr von Orbo Mills beträgt 12 Euro, weil der Vertrag nicht verlängert wurde.", "other_language"),
+        (Q, "Les frais de livraison sont de 12 euros, parce que le contrat a été renouvelé avec eux.", "other_language"),
+        (Q, "Il costo della consegna di Orbo Mills è di 12 euro, perché il contratto è stato rinnovato.", "other_language"),
+        ("¿Cuál es la tarifa de Orbo Mills?", "Les frais de livraison sont de 12 euros, parce que le contrat a été renouvelé avec eux.", "other_language"),
+        ("Qual é a taxa da Orbo Mills?", "Il costo della consegna di Orbo Mills è di 12 euro, perché il contratto è stato rinnovato.", "other_language"),
         (Q, "A taxa de entrega da Orbo Mills é de 12 euros, porque o contrato foi renovado.", "other_language"),
         (Q, "Orbo Mills의 배송비는 12유로이며, 이는 계약이 갱신되었기 때문이다.", "other_language"),
         (KO, "12유로", None),
@@ -162,10 +172,14 @@ def test_length_limit(spark):
     rows = [(f"u{i}", Q, None, False, ["1"], f"zz{i} yy{i} xx{i} ww{i} vv{i}", 24, "1", 1) for i in range(30)] + [("other", Q, None, False, ["1"], "some odd words stand here alone", 9, "1", 1)]
     got = defects(spark, rows)
     assert {k[0] for k in got} == {f"u{i}" for i in range(30)} and set(got.values()) == {"truncated"}
+    assert {k[0] for k in defects(spark, rows[22:])} == {f"u{i}" for i in range(22, 30)}  # a tenth of the table, or so
+    assert not defects(spark, rows[26:])
 
 
 def test_language():
     assert language("The fee is what the passage says") == "en" and language("12 euros") is None
+    assert language("El precio de la casa, según el texto, es de 12 euros por mes") == "es"
+    assert language("Самый короткий ответ") == "cyrillic" and language("答えは十二です") == "ja" and language("答案是十二") == "zh"
 
 
 # Problem 8
