@@ -21,7 +21,7 @@ MIN_RUN = 5
 EDITED = 0.25
 #: Widths of the windows that find edited items: each item has windows of the largest one that is at most 5/8 of its
 #: words (else of all). Longer ones would hold more edits than CGK keeps close; a long item has many windows instead.
-WIDTHS = (6, 8, 12)
+WIDTHS = (6, 10)
 #: (repetitions, sampled steps) of the keys of windows of MIN_RUN words, and of item-sized windows.
 SHORT, LONG = (2, 8), (8, 4)
 DOCS_AT_ONCE = 500
@@ -62,25 +62,36 @@ class WalkHash:
         rng = np.random.default_rng(seed + width)
         self.width, self.steps = width, 3 * width
         self.coins = rng.integers(1, 2**63, (repetitions, self.steps), dtype=np.uint64) | np.uint64(1)
-        reach = min(self.steps, 3 * width // 2 + samples)
-        self.samples = [np.sort(rng.choice(reach, min(samples, reach), replace=False)) for _ in range(repetitions)]
+        reach, early = min(self.steps, 3 * width // 2 + samples), min(samples // 2, 5)
+        # half of the samples are early, so that most windows are told apart in a few steps
+        self.samples = [np.sort(np.concatenate([rng.choice(5, early, replace=False), 5 + rng.choice(reach - 5, samples - early, replace=False)])) for _ in range(repetitions)]
 
-    def keys(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(repetitions, len(at)) keys of the windows of `ids` that start at `at`."""
+    def walk(self, ids: np.ndarray, at: np.ndarray, r: int, stages: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, keys) after each sampled step of repetition r; the last are the keys.
+
+        windows are places in `at`: all, or with `stages`, the sorted keys that other windows had after each sampled
+        step, only those that still share one.
+        """
         padded = np.concatenate([ids, np.full(self.width, -1)]).astype(np.uint64)
         padded = (padded + np.uint64(2)) * np.uint64(0xBF58476D1CE4E5B9)  # spread, so that coins of unknown words fall too
         padded ^= padded >> np.uint64(31)
-        out = np.zeros((len(self.coins), len(at)), np.uint64)
-        for r, coins in enumerate(self.coins):
-            place = np.zeros(len(at), np.int64)
-            sampled = set(self.samples[r].tolist())
-            for step in range(max(sampled) + 1):
-                word = np.where(place < self.width, padded[at + np.minimum(place, self.width)], np.uint64(0xFFFF_FFFF))
-                if step in sampled:
-                    out[r] = (out[r] ^ word) * np.uint64(0x9E3779B97F4A7C15)
-                    out[r] ^= out[r] >> np.uint64(29)
-                place += ((word * coins[step]) >> np.uint64(63)).astype(np.int64)
-        return out
+        which, place, key = np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+        sampled = {int(s): i for i, s in enumerate(self.samples[r])}
+        for step in range(max(sampled) + 1):
+            word = np.where(place < self.width, padded[at[which] + np.minimum(place, self.width)], np.uint64(0xFFFF_FFFF))
+            if step in sampled:
+                key = (key ^ word) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+                if stages is not None:
+                    known = stages[sampled[step]]
+                    keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) if len(known) else np.zeros(0, np.int64)
+                    which, place, key, word = which[keep], place[keep], key[keep], word[keep]
+                yield which, key
+            place += ((word * self.coins[r][step]) >> np.uint64(63)).astype(np.int64)
+
+    def keys(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(repetitions, len(at)) keys of the windows of `ids` that start at `at`."""
+        return np.stack([list(self.walk(ids, at, r))[-1][1] for r in range(len(self.coins))])
 
 
 def window_sums(ids: np.ndarray) -> np.ndarray:
@@ -112,11 +123,18 @@ class Windows:
         at = np.concatenate(place) if place else np.zeros(0, np.int64)
         item = np.concatenate([np.full(len(own), k) for k, own in parts]) if parts else at
         within = np.concatenate([own for _, own in parts]) if parts else at
-        self.tables = []
+        self.tables, self.stages = [], []
         sums = window_sums(ids)[at] if width == MIN_RUN and len(at) else np.zeros(len(at), np.uint64)
-        for keys in self.hash.keys(ids, at):
+        for r, keys in enumerate(self.hash.keys(ids, at)):
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], item[order], within[order], sums[order]))
+            self.stages.append([np.unique(k) for _, k in self.hash.walk(ids, at, r)])
+
+    def hits(self, ids: np.ndarray, at: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """(windows, keys) of the windows of `ids` at `at` whose key of repetition r is in the table."""
+        for which, key in self.hash.walk(ids, at, r, self.stages[r]):
+            pass
+        return which, key
 
 
 class ItemIndex:
@@ -132,6 +150,7 @@ class ItemIndex:
                 self.ids.append(i)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.sets = [set(w.tolist()) for w in self.words]
         self.short = Windows(MIN_RUN, SHORT, list(range(len(self.words))), self.words)
         by_width: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
@@ -152,11 +171,11 @@ class ItemIndex:
         span = int(self.lengths.max()) + 1
         found = []
         sums = window_sums(flat)[at]
-        for keys, (table, item, within, own) in zip(self.short.hash.keys(flat, at), self.short.tables):
-            low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-            hit = high > low
-            order = np.lexsort((sums[hit], low[hit], doc[hit]))
-            d, low, code = doc[hit][order], low[hit][order], sums[hit][order]
+        for r, (table, item, within, own) in enumerate(self.short.tables):
+            hit, keys = self.short.hits(flat, at, r)
+            low = np.searchsorted(table, keys, "left")
+            order = np.lexsort((sums[hit], low, doc[hit]))
+            d, low, code = doc[hit][order], low[order], sums[hit][order]
             once = np.ones(len(d), bool)
             once[1:] = (d[1:] != d[:-1]) | (low[1:] != low[:-1]) | (code[1:] != code[:-1])
             d, low, code = d[once], low[once], code[once]
@@ -187,11 +206,11 @@ class ItemIndex:
             at = np.flatnonzero(np.convolve(flat >= 0, np.ones(width, np.int64), "valid") >= width - max(1, int(EDITED * width)))
             doc = np.searchsorted(starts, at, "right") - 1
             found = []
-            for keys, (table, item, within, _) in zip(windows.hash.keys(flat, at), windows.tables):
+            for r, (table, item, within, _) in enumerate(windows.tables):
+                hit, keys = windows.hits(flat, at, r)
                 low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-                hit = np.flatnonzero(high > low)
-                n = (high - low)[hit]
-                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit], n)
+                n = high - low
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                 h = np.repeat(hit, n)
                 begin = np.maximum(at[h] - starts[doc[h]] - within[j], 0) // MIN_RUN  # nearby starts are one
                 found.append(np.stack([doc[h], item[j], begin], axis=1))
@@ -276,6 +295,11 @@ def best_chain(runs: list[tuple[int, int, int]], near: int, enough: int) -> int:
     return best
 
 
+def edited_there(distinct: set[int], item: np.ndarray, region: list[int], most: int) -> bool:
+    """Whether the item stands in the region with at most `most` edits; each edit loses at most one of its distinct words."""
+    return len(distinct.difference(region)) <= most and least_edits(item.tolist(), region) <= most
+
+
 def leaks(index: ItemIndex, texts: list[str | None], near: int) -> list[tuple[int, int, int, int, int]]:
     """(place of the text, number of the item, words covered, words of the item, edits) for each item that stands in a text."""
     get = index.vocab.get
@@ -288,8 +312,7 @@ def leaks(index: ItemIndex, texts: list[str | None], near: int) -> list[tuple[in
         item, size = index.words[k], len(index.words[k])
         most = int(EDITED * size)
         if starts is not None:  # by item-sized windows only: looked at where they lie, before the whole text is
-            own = item.tolist()
-            if all(least_edits(own, docs[d][max(0, x - most) : x + MIN_RUN + size + most].tolist()) > most for x in starts):
+            if not any(edited_there(index.sets[k], item, docs[d][max(0, x - most) : x + MIN_RUN + size + most].tolist(), most) for x in starts):
                 continue
         covered = best_chain(exact_runs(item, docs[d]), near, size)
         edits = least_edits(item.tolist(), docs[d].tolist())
