@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import ntile
+from millrace.session import materialise
 
 
 def moment(c: str) -> Column:
@@ -111,6 +112,7 @@ def rfm(buys: DataFrame, customer: str, order: str, ts: str, value: str) -> Data
     Recency counts from the day after the last purchase of all. Ties between customers go by customer key.
     """
     per = buys.where(F.col(customer).isNotNull()).groupBy(F.col(customer).alias("customer")).agg(F.max(ts).alias("last_ts"), F.count_distinct(order).alias("frequency"), F.sum(value).cast("double").alias("monetary"))
+    per = materialise(per, "rfm")  # it is read for the anchor and ordered twice
     anchor = per.agg(F.date_add(F.to_date(F.max("last_ts")), 1).alias("a")).scalar()
     per = per.withColumn("recency_days", F.date_diff(anchor, F.to_date("last_ts")))
     per = ntile(per, [F.col("recency_days").desc(), F.col("customer")], 5, "r_score")

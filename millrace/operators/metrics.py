@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import with_running_sums
+from millrace.session import materialise
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -95,16 +96,23 @@ def equal_count_curve(df: DataFrame, y: str, p: str, key: list[str], bins: int)
     return tiled.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("mean_y"))
 
 
-def quantiles_of(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns with linear interpolation, NULL and NaN left out.
+def value_counts(df: DataFrame, cols: list[str], sides: dict[str, Column]) -> DataFrame:
+    """(k, v, side counts): distinct values of several numeric columns (k is the place in `cols`) in one scan.
+
+    NULL and NaN are one missing value, NULL. Counted before the shuffle; all further steps see distinct values.
+    """
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), value(c).alias("v")) for i, c in enumerate(cols)])).alias("x")
+    marked = df.select(*[c.alias(f"_{n}") for n, c in sides.items()], cells)
+    return marked.groupBy("x.k", "x.v").agg(*[F.count_if(F.col(f"_{n}")).alias(n) for n in sides])
+
+
+def quantiles_from(counts: DataFrame, cols: list[str], n: str, probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation from `value_counts`, by column; missing values are left out.
 
-    Counts of distinct values, ordered by column and value in one distributed pass; a quantile's two neighbours are
-    the first values whose running count passes their places.
+    A quantile's two neighbours are the first values whose running count passes their places.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("x")
-    long = df.select(cells).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    cum = with_running_sums(counts, [F.col("k").asc(), F.col("v").asc()], {"c": F.col("n")})
+    cum = with_running_sums(counts.where(F.col("v").isNotNull() & (F.col(n) > 0)), [F.col("k").asc(), F.col("v").asc()], {"c": F.col(n)})
     ends = {r["k"]: r["c"] for r in cum.groupBy("k").agg(F.max("c").alias("c")).collect()}  # one row per column
     places, before = {}, 0
     for k in sorted(ends):
@@ -120,6 +128,11 @@ def quantiles_of(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str
     return out
 
 
+def quantiles_of(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation, NULL and NaN left out."""
+    return quantiles_from(value_counts(df, cols, {"n": F.lit(True)}), cols, "n", probs)
+
+
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Exact quantiles of one column."""
     return quantiles_of(df, [col], probs)[col]
@@ -131,35 +144,27 @@ def bin_of(x: Column, edges: list[float], right: bool) -> Column:
     return reduce(lambda a, b: a + b, hits, F.lit(0))
 
 
-def _psi_terms(labelled: DataFrame, reference: Column, eps: float) -> DataFrame:
-    """labelled: feature, bin; reference tells the rows of the reference population."""
-    c = labelled.groupBy("feature", "bin").agg(F.count_if(reference).alias("r"), F.count_if(~reference).alias("s"))
-    w = Window.partitionBy("feature")  # one row per feature and bin
-    a = F.greatest(ratio(F.col("r"), F.sum("r").over(w)), F.lit(eps))
-    b = F.greatest(ratio(F.col("s"), F.sum("s").over(w)), F.lit(eps))
-    return c.select("feature", "bin", F.col("r").alias("n_reference"), F.col("s").alias("n_current"), ((b - a) * F.log(b / a)).alias("term"))
-
-
 def psi(df: DataFrame, features: list[str], reference: Column, right: bool, missing: bool, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index of each numeric feature: edges are quantiles of the reference.
 
     right and missing tell the two conventions apart: [a,b) bins of values only, or (a,b] bins with a bucket of their
-    own for missing values, in which a feature of at most ten distinct reference values goes by value.
+    own for missing values, in which a feature of at most ten distinct reference values goes by value. The table is
+    read once, to the counts of distinct values of all features; edges, bins and shares come from these.
     """
-    parts = []
-    ref = df.where(reference)
-    cuts = quantiles_of(ref, features, [i / bins for i in range(bins + 1)])
-    for f in features:
-        distinct = ref.select(f).where(F.col(f).isNotNull()).distinct().limit(11).count() if missing else 11
-        if distinct <= 10:
-            label = F.col(f).cast("double").cast("string")
-        else:
-            edges = sorted({e for e in cuts[f] if e is not None})
-            label = bin_of(F.col(f).cast("double"), edges[1:-1], right).cast("string")
-        rows = df.select(F.lit(f).alias("feature"), F.when(F.col(f).isNotNull(), label).otherwise("missing").alias("bin"), reference.alias("_ref"))
-        parts.append(rows if missing else rows.where(F.col("bin") != "missing"))
-    every = reduce(lambda a, b: a.unionByName(b), parts)
-    return _psi_terms(every, F.col("_ref"), eps)
+    counts = materialise(value_counts(df, features, {"r": reference, "s": ~reference}), "psi")
+    cuts = quantiles_from(counts, features, "r", [i / bins for i in range(bins + 1)])
+    distinct = {r["k"]: r["n"] for r in counts.where(F.col("v").isNotNull() & (F.col("r") > 0)).groupBy("k").count().withColumnRenamed("count", "n").collect()}  # one row per feature
+    label, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, f in enumerate(features):
+        edges = sorted({e for e in cuts[f] if e is not None})
+        own = F.col("v").cast("string") if missing and distinct.get(k, 0) <= 10 else bin_of(F.col("v"), edges[1:-1], right).cast("string")
+        label, name = F.when(F.col("k") == k, own).otherwise(label), F.when(F.col("k") == k, F.lit(f)).otherwise(name)
+    binned = counts.select(name.alias("feature"), F.when(F.col("v").isNull(), "missing").otherwise(label).alias("bin"), "r", "s")
+    c = (binned if missing else binned.where(F.col("bin") != "missing")).groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+    w = Window.partitionBy("feature")  # one row per feature and bin
+    a = F.greatest(ratio(F.col("r"), F.sum("r").over(w)), F.lit(eps))
+    b = F.greatest(ratio(F.col("s"), F.sum("s").over(w)), F.lit(eps))
+    return c.select("feature", "bin", F.col("r").alias("n_reference"), F.col("s").alias("n_current"), ((b - a) * F.log(b / a)).alias("term"))
 
 
 def psi_table(terms: DataFrame) -> DataFrame:

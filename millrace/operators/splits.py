@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.metrics import hash_fraction
-from millrace.operators.ordered import with_row_number
+from millrace.operators.ordered import numbered
 
 
 def hash_sample(df: DataFrame, key: str, modulus: int, offset: int) -> DataFrame:
@@ -18,9 +18,8 @@ def hash_sample(df: DataFrame, key: str, modulus: int, offset: int) -> DataFrame
 
 def chronological_split(df: DataFrame, order: list[str], fraction: float) -> DataFrame:
     """df with part: train for the first floor(n * fraction) rows in order, test for the rest."""
-    n = df.count()
-    numbered = with_row_number(df, [F.col(c).asc() for c in order], "_r")
-    return numbered.withColumn("part", F.when(F.col("_r") <= math.floor(n * fraction), "train").otherwise("test")).drop("_r")
+    placed, n = numbered(df, [F.col(c).asc() for c in order], "_r")
+    return placed.withColumn("part", F.when(F.col("_r") <= math.floor(n * fraction), "train").otherwise("test")).drop("_r")
 
 
 def expanding_folds(df: DataFrame, month: str, months: list[str], least: int) -> DataFrame:
@@ -50,19 +49,19 @@ def first_by_hash(df: DataFrame, stratum: list[str], key: list[str], limit: Colu
 
 def top_fraction(df: DataFrame, score: str, key: list[str], fraction: float) -> DataFrame:
     """The ceil(n * fraction) rows of the highest score, ties by key."""
-    n = math.ceil(df.count() * fraction)
-    return with_row_number(df, [F.col(score).desc(), *[F.col(k).asc() for k in key]], "_r").where(F.col("_r") <= n).drop("_r")
+    placed, n = numbered(df, [F.col(score).desc(), *[F.col(k).asc() for k in key]], "_r")
+    return placed.where(F.col("_r") <= math.ceil(n * fraction)).drop("_r")
 
 
 def evenly_spaced(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """`size` rows at places round(i (n-1) / (size-1)) of the order, halves to even."""
-    n = df.count()
+    placed, n = numbered(df, [F.col(c).asc() for c in order], "_r")
     at = sorted({round(i * (n - 1) / (size - 1)) + 1 for i in range(size)}) if size > 1 and n else [1]
-    return with_row_number(df, [F.col(c).asc() for c in order], "_r").where(F.col("_r").isin(at)).drop("_r")
+    return placed.where(F.col("_r").isin(at)).drop("_r")
 
 
 def grouped_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): groups by falling size are dealt to folds in turn; ties by group."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    numbered = with_row_number(sizes, [F.col("n").desc(), F.col(group).asc()], "_r")
-    return numbered.select(group, "n", ((F.col("_r") - 1) % k).cast("int").alias("fold"))
+    placed = numbered(sizes, [F.col("n").desc(), F.col(group).asc()], "_r")[0]
+    return placed.select(group, "n", ((F.col("_r") - 1) % k).cast("int").alias("fold"))

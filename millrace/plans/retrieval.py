@@ -16,11 +16,6 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asks(s: SparkSession, d: str) -> DataFrame:
-    """Stated query set: the English items of one suite."""
-    return _words(table(s, d, "eval_items").where((F.col("lang") == "en") & (F.col("suite") == "claims_test")))
-
-
-def _asks_all(s: SparkSession, d: str) -> DataFrame:
     """All items of all languages and suites."""
     return _words(table(s, d, "eval_items"))
 
@@ -42,11 +37,6 @@ def bm25_run(s, d):
     return _bm25(s, d, _asks(s, d))
 
 
-def bm25_run_all(s, d):
-    """bm25_run for all items."""
-    return _bm25(s, d, _asks_all(s, d))
-
-
 def _collapsed(s, d, asks):
     c = R.chunks(table(s, d, "documents"), "doc_id", "text", 64, 16)
     ids = c.select(F.concat_ws("#", F.col("doc").cast("string"), F.col("chunk_no").cast("string")).alias("doc"), "words")
@@ -59,11 +49,6 @@ def parent_collapse(s, d):
     return _collapsed(s, d, _asks(s, d))
 
 
-def parent_collapse_all(s, d):
-    """parent_collapse for all items."""
-    return _collapsed(s, d, _asks_all(s, d))
-
-
 def _vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
 
@@ -182,15 +167,12 @@ def sentence_split(s, d):
     return t.select("doc_id", F.size("x").alias("n"), F.length(F.element_at("x", 1)).alias("first_length"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_windows, bm25_run, bm25_run_all, parent_collapse, parent_collapse_all, dense_run, rrf_run, rerank_run, retrieval_metrics, retrieval_macro, recall_gate, query_overlap, graded_ndcg, squad_scores, paired_summary, method_sets, numeric_answers, answer_letters, question_categories, sentence_split)}
+QUERIES = {f.__name__: f for f in (chunk_windows, bm25_run, parent_collapse, dense_run, rrf_run, rerank_run, retrieval_metrics, retrieval_macro, recall_gate, query_overlap, graded_ndcg, squad_scores, paired_summary, method_sets, numeric_answers, answer_letters, question_categories, sentence_split)}
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-_STATED = " WHERE lang = 'en' AND suite = 'claims_test'"
-
-
-def _bm25_sql(docs: str, asked: str = _STATED) -> str:
+def _bm25_sql(docs: str, asked: str = "") -> str:
     return f"""{docs},
 asks AS (SELECT item_id AS qid, unnest({_TOKENS.format('item_text')}) AS word FROM eval_items{asked}),
 times AS (SELECT qid, word, count(*) AS times FROM asks GROUP BY 1, 2),
@@ -235,10 +217,8 @@ cut AS (SELECT doc, CAST(chunk_no AS integer) AS chunk_no, t[chunk_no * 48 + 1 :
 
 SQL = {
     "chunk_windows": f"WITH {_CHUNKS} SELECT doc, chunk_no, len(words) AS n_words, words[1] AS first_word FROM cut",
-    "bm25_run": f"WITH {_bm25_sql(_DOCS)} SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM scores QUALIFY place <= 10",
-    "bm25_run_all": f"WITH {_bm25_sql(_DOCS, '')} SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM scores QUALIFY place <= 10",
-    "parent_collapse": f"WITH {_bm25_sql(_CHUNKS + ', docs AS (SELECT doc || $$#$$ || chunk_no AS doc, words FROM cut)')}, best AS (SELECT qid, CAST(split_part(doc, '#', 1) AS bigint) AS doc, max(score) AS score FROM scores GROUP BY 1, 2) SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM best QUALIFY place <= 10",
-    "parent_collapse_all": f"WITH {_bm25_sql(_CHUNKS + ', docs AS (SELECT doc || $$#$$ || chunk_no AS doc, words FROM cut)', '')}, best AS (SELECT qid, CAST(split_part(doc, '#', 1) AS bigint) AS doc, max(score) AS score FROM scores GROUP BY 1, 2) SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM best QUALIFY place <= 10",
+    "bm25_run": f"WITH {_bm25_sql(_DOCS, '')} SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM scores QUALIFY place <= 10",
+    "parent_collapse": f"WITH {_bm25_sql(_CHUNKS + ', docs AS (SELECT doc || $$#$$ || chunk_no AS doc, words FROM cut)', '')}, best AS (SELECT qid, CAST(split_part(doc, '#', 1) AS bigint) AS doc, max(score) AS score FROM scores GROUP BY 1, 2) SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS integer) AS place FROM best QUALIFY place <= 10",
     "dense_run": f"WITH {_DENSE} SELECT * FROM d1",
     "rrf_run": f"WITH {_DENSE} SELECT * FROM rrf",
     "rerank_run": f"WITH {_DENSE} SELECT qid, doc, CAST(row_number() OVER (PARTITION BY qid ORDER BY place > 5, CASE WHEN place <= 5 THEN doc % 7 END DESC NULLS LAST, place) AS integer) AS place FROM d1",
