@@ -1,5 +1,5 @@
 """Query catalogues: modules with QUERIES and SQL."""
 
-from millrace.plans import customers, experiments, metrics, models, pipelines, retrieval, time_series, training_data
+from millrace.plans import cleaning, customers, experiments, metrics, models, pipelines, retrieval, time_series, training_data
 
-CATALOGUES = (customers, experiments, metrics, models, pipelines, retrieval, time_series, training_data)
+CATALOGUES = (cleaning, customers, experiments, metrics, models, pipelines, retrieval, time_series, training_data)
