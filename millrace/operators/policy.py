@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.metrics import ratio
@@ -92,3 +92,83 @@ def inject_regression(df: DataFrame, segment: str, target: str, correct: str, ke
     turned = placed.withColumn("injected", F.when(hit, F.col("_side")).otherwise(F.col(correct)).cast("int")).drop("_r")
     rest = rows.where(F.col("_side").isNull()).withColumn("injected", F.col(correct).cast("int"))
     return turned.unionByName(rest).drop("_side", "_h")
+
+
+def net_effect(df: DataFrame, y: str, treated: str, chosen: Column, value: float, cost: float) -> DataFrame:
+    """One row: the effect within a chosen set with its interval, and the value of treating the set net of its cost."""
+    e = effect(df.where(chosen).withColumn("_all", F.lit(1)), y, treated, ["_all"])
+    n = F.col("n1") + F.col("n0")
+    return e.select("n1", "n0", "effect", "lower", "upper", F.round(F.col("effect") * n * value - n * cost, 4).alias("net_value"))
+
+
+def curve_area(curve: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: the area under a curve of few points by trapezoids from (0, 0), above the straight line to its end, as a share of the end's triangle."""
+    w = Window.orderBy("x")  # one row per distinct score
+    step = curve.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"x0": F.lag("x", 1, 0.0).over(w), "y0": F.lag("y", 1, 0.0).over(w)})
+    t = step.agg(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2).alias("area"), F.max("x").alias("end_x"), F.max_by("y", "x").alias("end_y"))
+    return t.select(F.round("area", 6).alias("area"), F.round(F.col("area") - F.col("end_x") * F.col("end_y") / 2, 6).alias("gain"))
+
+
+def off_policy_summary(per_position: DataFrame) -> DataFrame:
+    """One row: each estimate averaged over positions."""
+    return per_position.agg(F.count(F.lit(1)).alias("positions"), F.sum("n").alias("rows"), *[F.round(F.avg(c), 6).alias(c) for c in ("dm", "ips", "snips", "dr")], F.max("max_weight").alias("max_weight"))
+
+
+def factual_rate(log: DataFrame, position: str, reward: str) -> DataFrame:
+    """One row: the reward rate with every position weighing the same, and its normal interval."""
+    per = log.groupBy(position).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(reward).cast("double")).alias("r"))
+    t = per.agg(F.sum("n").alias("n"), F.avg("r").alias("rate"), (F.sum(F.col("r") * (1 - F.col("r")) / F.col("n")) / F.pow(F.count(F.lit(1)), F.lit(2))).alias("v"))
+    half = 1.96 * F.sqrt("v")
+    return t.select("n", F.round("rate", 6).alias("rate"), F.round(F.greatest(F.col("rate") - half, F.lit(0.0)), 6).alias("lower"), F.round(F.col("rate") + half, 6).alias("upper"))
+
+
+def smoothed_policy(log: DataFrame, hour: Column, action: str, position: str, prior: float) -> DataFrame:
+    """(hour, position, action, p): the logging policy by hour and position, each action counted `prior` times more; every action of the log has a place in each cell."""
+    n = log.groupBy(hour.alias("hour"), F.col(position).alias("position"), F.col(action).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    actions = log.select(F.col(action).alias("action")).distinct()
+    cells = n.groupBy("hour", "position").agg(F.sum("n").alias("total"))
+    grid = cells.crossJoin(F.broadcast(actions)).join(n, ["hour", "position", "action"], "left")  # the catalogue of actions
+    k = actions.count()
+    return grid.select("hour", "position", "action", ((F.coalesce("n", F.lit(0)) + prior) / (F.col("total") + prior * k)).alias("p"))
+
+
+def slate_policy(ranked: DataFrame, actions: int, explore: float) -> DataFrame:
+    """(user, item, position, p): the probability of each ranked item at its position; any other item has explore / actions."""
+    return ranked.select("user", "item", F.col("place").alias("position"), F.lit(1 - explore + explore / actions).alias("p"))
+
+
+def total_variation(fitted: DataFrame, held: DataFrame, actions: str = "action") -> DataFrame:
+    """One row: half the absolute gap between a policy (hour, position, action, p) and the frequencies of held-out rows, averaged by rows."""
+    n = held.groupBy("hour", "position", actions).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("hour", "position").agg(F.sum("n").alias("total"))
+    gap = fitted.join(total, ["hour", "position"]).join(n, ["hour", "position", actions], "left")
+    per = gap.groupBy("hour", "position").agg((F.sum(F.abs(F.col("p") - F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)))) / 2).alias("tv"), F.first("total").alias("total"))
+    return per.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum(F.col("tv") * F.col("total")) / F.sum("total"), 6).alias("weighted_tv"))
+
+
+def bidding_proxy(df: DataFrame, y: str, p: str, click_value: float) -> DataFrame:
+    """One row: value of predicted and of real clicks, their gap, and the mean bid."""
+    e, o = click_value * F.sum(p), click_value * F.sum(F.col(y).cast("double"))
+    return df.agg(F.round(e, 4).alias("estimated"), F.round(o, 4).alias("observed"), F.round(e - o, 4).alias("bias"), F.round(F.abs(e - o), 4).alias("error"), F.round(click_value * F.avg(p), 6).alias("mean_bid"))
+
+
+def bid(strategy: str, p: Column, scale: float, average: float, c: float) -> Column:
+    """A bid by strategy: constant, linear in p, or the optimum under a hyperbolic winning curve (ortb)."""
+    if strategy == "constant":
+        return F.lit(float(scale))
+    if strategy == "linear":
+        return scale * p / average
+    if strategy == "ortb":
+        return F.sqrt(c * c + c * scale * p / average) - c
+    raise ValueError(f"unknown strategy {strategy}")
+
+
+def fit_winning_curve(points: DataFrame) -> float:
+    """The c of bid / (c + bid) nearest to points (bid, win_rate) by least squares: golden-section search on few points."""
+    rows = [(r["bid"], r["win_rate"]) for r in points.select("bid", "win_rate").collect()]  # the grid of bids
+    loss = lambda c: sum((b / (c + b + 1e-12) - w) ** 2 for b, w in rows)
+    low, high, g = 1e-6, 10 * max((b for b, _ in rows), default=1.0) + 1.0, (5**0.5 - 1) / 2
+    for _ in range(200):
+        a, b = high - g * (high - low), low + g * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return (low + high) / 2

@@ -13,7 +13,6 @@ from millrace.plans.metrics import _POISSON, psi_hist, psi_missing, scored
 from millrace.plans.retrieval import _QA, _scores
 from millrace.sources.tables import table
 
-N = F.count(F.lit(1))
 GRID = [round(0.05 * k, 2) for k in range(4, 21)]
 
 
@@ -51,12 +50,12 @@ def link_scores(s, d):
 def document_f1(s, d):
     """Mean F1 over orders; an order without links counts as 0."""
     per = I.link_scores(_links(s, d), ["l_orderkey"], F.col("truth"), F.col("new"))
-    return per.agg(N.alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.count_if(F.col("f1") == 0).alias("n_zero"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.count_if(F.col("f1") == 0).alias("n_zero"))
 
 
 def error_transitions(s, d):
     x = _links(s, d).select("l_linestatus", I.transition(F.col("truth"), F.col("old"), F.col("new")).alias("transition"))
-    return x.where(F.col("transition").isNotNull()).groupBy("l_linestatus", "transition").agg(N.alias("n"))
+    return x.where(F.col("transition").isNotNull()).groupBy("l_linestatus", "transition").agg(F.count(F.lit(1)).alias("n"))
 
 
 def paired_p_values(s, d):
@@ -77,7 +76,7 @@ def sample_size_power(s, d):
 
 def count_bootstrap(s, d):
     x = _links(s, d).withColumn("diff", (F.col("new") == F.col("truth")).cast("int") - (F.col("old") == F.col("truth")).cast("int"))
-    counts = x.groupBy("l_linestatus").agg(F.count_if(F.col("diff") == -1).alias("down"), F.count_if(F.col("diff") == 1).alias("up"), N.alias("n"))
+    counts = x.groupBy("l_linestatus").agg(F.count_if(F.col("diff") == -1).alias("down"), F.count_if(F.col("diff") == 1).alias("up"), F.count(F.lit(1)).alias("n"))
     return I.count_bootstrap(counts, ["l_linestatus"], 500, 0.95)
 
 
@@ -95,7 +94,7 @@ def slice_matrix(s, d):
     loss = sum((M.pinball(F.col("y"), F.col("q")[i], p) for i, p in enumerate((0.1, 0.5, 0.9))), F.lit(0.0)) / 3
     sets = [["model", "l_returnflag", "l_linestatus"], ["model", "l_returnflag"], ["model", "l_linestatus"], ["model"]]
     inside = F.when(F.col("model") == "quantile", F.col("y").between(F.col("q")[0], F.col("q")[2]).cast("double"))
-    g = x.groupingSets(sets, "model", "l_returnflag", "l_linestatus").agg(N.alias("n"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.avg(loss), 6).alias("pinball"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("q")[1], 2))), 6).alias("rmse"))
+    g = x.groupingSets(sets, "model", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.avg(loss), 6).alias("pinball"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("q")[1], 2))), 6).alias("rmse"))
     return g.select("model", F.coalesce("l_returnflag", F.lit("all")).alias("segment"), F.coalesce("l_linestatus", F.lit("all")).alias("scope"), "n", "coverage", "pinball", "rmse")
 
 
@@ -108,8 +107,8 @@ def crossing_quantiles(s, d):
 
 def hierarchy_rollup(s, d):
     """Daily counts of each event type and of all together, each series with its share of low days."""
-    n = table(s, d, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("level")).agg(N.alias("qty"))
-    return I.with_total(n, ["day"], "qty", "level").groupBy("level").agg(N.alias("days"), F.sum("qty").alias("total"), F.max("qty").alias("top"), F.round(F.stddev_pop("qty"), 6).alias("spread"))
+    n = table(s, d, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("level")).agg(F.count(F.lit(1)).alias("qty"))
+    return I.with_total(n, ["day"], "qty", "level").groupBy("level").agg(F.count(F.lit(1)).alias("days"), F.sum("qty").alias("total"), F.max("qty").alias("top"), F.round(F.stddev_pop("qty"), 6).alias("spread"))
 
 
 def segment_profiles(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import metrics as M
 from millrace.operators import panel as P
 from millrace.operators import sequential as Q
 from millrace.operators import temporal as T
@@ -97,7 +98,8 @@ def return_summary(s, d):
 
 def token_bucket(s, d):
     """Tokens refill at one in six hours, as users act a few times a day."""
-    return Q.token_bucket(table(s, d, "events"), "user_id", "ts", "event_id", 2.0, 1 / 21_600)
+    t = Q.token_bucket(table(s, d, "events"), "user_id", "ts", "event_id", 2.0, 1 / 21_600)
+    return t.select("user_id", "event_id", "allowed", F.round("tokens", 4).alias("tokens"))
 
 
 def circuit_breaker(s, d):
@@ -110,19 +112,67 @@ def budget_replay(s, d):
     return Q.budget_replay(e, "user_id", ["ts", "event_id"], "price", 500.0).select("event_id", "taken", F.round("spent", 4).alias("spent"))
 
 
+TTL = 5 * 86_400.0
+
+
+def _requests(s, d):
+    """Events as requests: the version changes in mid-month, users share a tenant, and vectors stand for the questions."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("vec"), "embedding")
+    n = F.lit(40)
+    e = table(s, d, "events").select("event_id", "ts", F.pmod("user_id", F.lit(20)).alias("tenant"), F.pmod("user_id", F.lit(2)).alias("tier"), F.when(F.dayofmonth("ts") <= 15, "v1").otherwise("v2").alias("version"), F.concat_ws(" ", "event_type", "props").alias("question"), F.pmod(F.xxhash64("event_type", "props"), n).alias("vec"))
+    return e.join(F.broadcast(v.where(F.col("vec") < n)), "vec", "left")  # forty vectors
+
+
 def cache_replay(s, d):
-    e = table(s, d, "events").select("user_id", "ts", "event_id", F.concat_ws("/", "event_type", "props").alias("request"))
-    return Q.cache_replay(e, "user_id", "ts", "event_id", "request", 5 * 86_400.0, 4)
+    return Q.cache_replay(_requests(s, d), ["tier", "version", "tenant"], ["tier", "version"], "ts", "event_id", "question", "embedding", TTL, 0.95)
+
+
+def cache_invalidation(s, d):
+    """Answers of each prompt version that invalidating it would drop on the 18th."""
+    r = cache_replay(s, d).join(_requests(s, d).select("event_id", "ts", "version"), "event_id")
+    return Q.alive_entries(r, F.col("version"), "ts", TTL, F.lit("2024-01-18").cast("timestamp_ntz"))
+
+
+def cache_savings(s, d):
+    """Cost and delay model of the replay; a semantic hit is false if it matched another event type."""
+    e = table(s, d, "events").select("event_id", "event_type", F.length("props").alias("chars"))
+    r = cache_replay(s, d).join(e, "event_id").join(e.select(F.col("event_id").alias("matched"), F.col("event_type").alias("stored")), "matched", "left")
+    u = M.hash_fraction(F.col("event_id"))
+    costed = Q.replay_cost(r, 400 + F.col("chars"), F.floor(80 + 60 * u), 100 * u, (0.5, 1.5), 0.5, {"base": 400.0, "per_token": 12.0, "exact": 20.0, "semantic": 45.0, "prefix_saving": 300.0, "cache_jitter": 10.0})
+    return Q.replay_summary(costed, F.col("event_type") != F.col("stored"))
+
+
+def waiting_queue(s, d):
+    """Requests wait up to eight hours for a token, at one in six hours."""
+    q = Q.waiting_queue(table(s, d, "events"), "user_id", "ts", "event_id", 2.0, 1 / 21_600, 28_800.0)
+    return q.select("event_id", "allowed", F.round("waited", 3).alias("waited"))
+
+
+def failover(s, d):
+    code = lambda k: F.when(F.pmod(F.xxhash64("event_id", F.lit(k)), F.lit(10)) < 5, 200).when(F.pmod(F.xxhash64("event_id", F.lit(k)), F.lit(10)) < 9, 503).otherwise(400)
+    e = table(s, d, "events").withColumn("codes", F.array(code(1), code(2), code(3)))
+    order = Q.checked_order(["first", "second", "third"], ["third", "second", "first"])
+    f = Q.failover(e, ["user_id"], "ts", "event_id", "codes", order, open_seconds=86_400.0)
+    return f.groupBy("provider", "tries", "failed_over").agg(F.count(F.lit(1)).alias("n"))
 
 
 def usage_ledger(s, d):
-    """Events of each user by the log and by its per-day sums, reconciled."""
-    e = table(s, d, "events")
-    log = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("cost"))
-    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("cost"))
-    ours = days.groupBy("user_id").agg(F.sum("n").alias("m"), F.sum("cost").alias("cost2"))
-    j = log.join(ours, "user_id", "full_outer")
-    return j.select("user_id", "n", F.round("cost", 4).alias("cost"), (F.col("n").eqNullSafe(F.col("m")) & (F.abs(F.col("cost") - F.col("cost2")) < 1e-6)).alias("matches"))
+    """Order totals against the sums of their lines, by customer: two ledgers of one business, which rarely agree."""
+    o = table(s, d, "orders")
+    ours = o.select("o_custkey", F.lit(1).alias("n"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"))
+    lines = table(s, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    theirs = lines.where(F.col("l_linenumber") == 1).select("o_custkey", F.lit(1).alias("n"), F.col("l_extendedprice").cast("decimal(18,2)").alias("cost"))
+    return Q.reconcile(ours, theirs, "o_custkey", ["n", "cost"])
+
+
+def paced_replay(s, d):
+    e = table(s, d, "events").select("event_id", "ts", F.lit("all").alias("k"), F.col("value").alias("price"), (30 + F.pmod("event_id", F.lit(50))).alias("bid"))
+    return Q.paced_replay(e, "k", "ts", "event_id", "bid", "price", 2000.0).select("event_id", "taken", F.round("multiplier", 6).alias("multiplier"))
+
+
+def spend_reservations(s, d):
+    e = table(s, d, "events").select("user_id", "ts", "event_id", F.octet_length("props").alias("bytes"))
+    return Q.reservations(e, "user_id", ["ts", "event_id"], "event_id", "bytes", 300.0)
 
 
 def hourly_spend(s, d):
@@ -139,7 +189,7 @@ def win_curve(s, d):
     return e.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-QUERIES = {f.__name__: f for f in (pit_as_of, revision_delta, bitemporal_load, overwrite_baseline, view_before_purchase, lag_features, intermittency, panel_filled, momentum_weights, momentum_backtest, return_summary, token_bucket, circuit_breaker, budget_replay, cache_replay, usage_ledger, hourly_spend, win_curve)}
+QUERIES = {f.__name__: f for f in (pit_as_of, revision_delta, bitemporal_load, overwrite_baseline, view_before_purchase, lag_features, intermittency, panel_filled, momentum_weights, momentum_backtest, return_summary, token_bucket, circuit_breaker, budget_replay, cache_replay, cache_invalidation, cache_savings, waiting_queue, failover, usage_ledger, paced_replay, spend_reservations, hourly_spend, win_curve)}
 
 _TWO = f"""WITH {_HISTORY}, back AS (SELECT *, max(seq) OVER (PARTITION BY corp_code, report_year, report_code) - seq AS back FROM marks),
 two AS (SELECT s.*, b.back FROM stated s JOIN back b USING (corp_code, report_year, report_code, receipt_no) WHERE back < 2),
@@ -179,7 +229,33 @@ SQL = {
     "momentum_backtest": f"WITH {_BACK} SELECT CAST(session AS integer) AS session, round(ret, 6) AS ret, round(turnover, 6) AS turnover FROM bt",
     "return_summary": f"""WITH {_BACK}, c AS (SELECT ret, exp(sum(ln(1 + ret)) OVER (ORDER BY session)) AS level, session FROM bt), k AS (SELECT *, level / greatest(max(level) OVER (ORDER BY session), 1) - 1 AS dd FROM c)
       SELECT round(exp(sum(ln(1 + ret))) - 1, 6) AS total, round(pow(exp(sum(ln(1 + ret))), 12.0 / count(*)) - 1, 6) AS cagr, round(avg(ret) / stddev_samp(ret) * sqrt(12.0), 6) AS sharpe, round(min(dd), 6) AS max_drawdown, count(*) AS n FROM k""",
-    "usage_ledger": "SELECT user_id, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS cost, true AS matches FROM events GROUP BY 1",
+    "usage_ledger": """WITH a AS (SELECT o_custkey, CAST(count(*) AS bigint) AS n_ours, CAST(sum(CAST(o_totalprice AS decimal(18,2))) AS decimal(28,2)) AS cost_ours FROM orders GROUP BY 1),
+      b AS (SELECT o_custkey, CAST(count(*) AS bigint) AS n_theirs, CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS decimal(28,2)) AS cost_theirs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1)
+      SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'ours' WHEN a.o_custkey IS NULL THEN 'theirs' ELSE 'both' END AS side, n_ours, n_theirs, cost_ours, cost_theirs,
+      coalesce(a.o_custkey = b.o_custkey AND n_ours = n_theirs AND cost_ours = cost_theirs, false) AS matches FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
+    "token_bucket": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT user_id, event_id, s, k, CAST(1 AS double) AS tokens, true AS allowed FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.s, e.k, least(2.0, f.tokens + (e.s - f.s) / 21600) - CAST(least(2.0, f.tokens + (e.s - f.s) / 21600) >= 1 - 1e-9 AS integer), least(2.0, f.tokens + (e.s - f.s) / 21600) >= 1 - 1e-9 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT user_id, event_id, allowed, round(tokens, 4) AS tokens FROM f""",
+    "budget_replay": """WITH RECURSIVE e AS (SELECT user_id, event_id, value AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT user_id, event_id, k, coalesce(p <= 500 + 1e-9, false) AS taken, CAST(CASE WHEN p <= 500 + 1e-9 THEN p ELSE 0 END AS double) AS spent FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, coalesce(f.spent + p <= 500 + 1e-9, false), f.spent + CASE WHEN f.spent + p <= 500 + 1e-9 THEN p ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT event_id, taken, round(spent, 4) AS spent FROM f""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT user_id, event_id, k, 'CLOSED' AS state, CAST(bad AS integer) AS n, CAST(0 AS double) AS opened FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.n < 2 THEN 'CLOSED' WHEN e.s - f.opened < 86400 THEN 'OPEN' ELSE 'HALF_OPEN' END,
+          CASE WHEN f.n >= 2 AND e.s - f.opened < 86400 THEN f.n WHEN f.n >= 2 THEN CASE WHEN bad THEN 2 ELSE 0 END WHEN bad THEN f.n + 1 ELSE 0 END,
+          CASE WHEN f.n >= 2 AND e.s - f.opened < 86400 THEN f.opened WHEN bad THEN e.s ELSE f.opened END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT user_id, event_id, state FROM f""",
+    "waiting_queue": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT user_id, event_id, s, k, CAST(1 AS double) AS level, true AS allowed, CAST(0 AS double) AS waited FROM e WHERE k = 1
+        UNION ALL SELECT user_id, event_id, s, k, l - CAST(w < 28800 AS integer), w < 28800, CASE WHEN w < 28800 THEN w ELSE 28800 END FROM (
+          SELECT e.user_id, e.event_id, e.s, e.k, least(2.0, f.level + (e.s - f.s) / 21600) AS l, greatest(0, (1 - least(2.0, f.level + (e.s - f.s) / 21600)) * 21600) AS w FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+      SELECT event_id, allowed, round(waited, 3) AS waited FROM f""",
+    "spend_reservations": """WITH RECURSIVE e AS (SELECT user_id, event_id, strlen(props) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT user_id, event_id, k, coalesce(p <= 300, false) AS granted, CAST(CASE WHEN p <= 300 THEN p ELSE 0 END AS double) AS reserved FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, coalesce(f.reserved + p <= 300, false), f.reserved + CASE WHEN f.reserved + p <= 300 THEN p ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT event_id, granted, reserved FROM f""",
     "hourly_spend": "WITH h AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT hour, n, round(sum(v) OVER (ORDER BY hour), 4) AS spent FROM h",
     "win_curve": "SELECT CAST(b AS double) AS bid, round(avg(CAST(value <= b AS integer)), 6) AS win_rate FROM (SELECT unnest(range(0, 101, 5)) AS b), events WHERE value IS NOT NULL GROUP BY 1",
 }

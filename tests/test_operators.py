@@ -131,7 +131,14 @@ def test_token_bucket_breaker_budget_cache(spark):
     bids = spark.createDataFrame([(i, "k", p) for i, p in enumerate([6.0, 5.0, 4.0, None, 1.0])], "id int, k string, price double")
     assert [r.taken for r in Q.budget_replay(bids, "k", ["id"], "price", 10.0).orderBy("id").collect()] == [True, False, True, False, False]
     asks = spark.createDataFrame([(i, "s", t(s), q) for i, (s, q) in enumerate([(0, "abcd1"), (1, "abcd1"), (2, "abcd2"), (20, "abcd1"), (21, None)])], "id int, k string, ts timestamp_ntz, q string")
-    assert [r.level for r in Q.cache_replay(asks, "k", "ts", "id", "q", 10, 4).orderBy("id").collect()] == ["miss", "exact", "prefix", "miss", "miss"]
+    v = lambda *x: list(map(float, x))
+    rows = [  # tier, version, tenant, seconds, id, question, vector
+        ("t", "v1", "a", 0, 1, "How do I reset?", v(1, 0)), ("t", "v1", "a", 1, 2, "  HOW do I reset? ", v(0, 1)), ("t", "v1", "a", 2, 3, "reset how", v(0.99, 0.01)), ("t", "v1", "a", 3, 4, "other", v(0, 1)),
+        ("t", "v1", "b", 4, 5, "How do I reset?", v(1, 0)), ("t", "v2", "a", 5, 6, "How do I reset?", v(1, 0)), ("t", "v1", "a", 20, 7, "How do I reset?", v(1, 0)), ("t", "v1", "a", 21, 8, None, None), ("t", "v1", "a", 22, 9, None, v(0, 0)),
+    ]
+    df = spark.createDataFrame([(*r[:3], datetime(2024, 1, 1) + timedelta(seconds=r[3]), *r[4:]) for r in rows], "tier string, version string, tenant string, ts timestamp_ntz, id bigint, q string, vec array<double>")
+    got = {r.id: (r.level, r.matched) for r in Q.cache_replay(df, ["tier", "version", "tenant"], ["tier", "version"], "ts", "id", "q", "vec", 10.0, 0.95).collect()}
+    assert got == {1: ("miss", None), 2: ("exact", 1), 3: ("semantic", 1), 4: ("prefix", None), 5: ("prefix", None), 6: ("miss", None), 7: ("miss", None), 8: ("prefix", None), 9: ("exact", 8)}
 
 
 def test_answers(spark):
@@ -213,7 +220,7 @@ def test_all_items_are_asked(spark, tmp_path):
     docs = [(10, "the delivery fee"), (20, "a taxa da entrega"), (30, "tasa 12 euros"), (40, "one word problem"), (50, "unasked")]
     spark.createDataFrame(items, "item_id bigint, item_text string, lang string, suite string").write.parquet(str(tmp_path / "eval_items.parquet"))
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for f in (retrieval.bm25_run_all, retrieval.parent_collapse_all):
+    for f in (retrieval.bm25_run, retrieval.parent_collapse):
         assert {(r.qid, r.doc) for r in f(spark, str(tmp_path)).where("place = 1").collect()} == {(i, 10 * i) for i in range(1, 6)}
 
 
@@ -231,3 +238,26 @@ def test_cooccurrence_of_large_baskets(spark):
 def test_term_weights_of_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a a"), (2, "b"), (3, ""), (4, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, models.tfidf_documents(spark, str(tmp_path)).collect())) == [(1, "a", 1.0), (2, "b", 1.0)]
+
+
+def test_waiting_queue_and_failover(spark):
+    t = lambda n: datetime(2024, 1, 1) + timedelta(milliseconds=n)
+    df = spark.createDataFrame([("k", t(0), i) for i in range(8)], "k string, ts timestamp_ntz, id int")
+    got = {r.id: (r.allowed, round(r.waited, 3)) for r in Q.waiting_queue(df, "k", "ts", "id", 2.0, 2.0, 1.2).collect()}
+    assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (True, 0.5), 3: (True, 1.0), 4: (False, 1.2), 5: (False, 1.2), 6: (False, 1.2), 7: (False, 1.2)}
+    calls = [(1, [200, 200]), (2, [503, 200]), (3, [503, 200]), (4, [200, 200]), (5, [400, 503]), (6, [400, 400])]
+    df = spark.createDataFrame([("k", t(100 * i), i, c) for i, c in calls], "k string, ts timestamp_ntz, id int, codes array<int>")
+    got = {r.id: (r.provider, r.tries, r.failed_over) for r in Q.failover(df, ["k"], "ts", "id", "codes", ["a", "b"]).collect()}
+    assert got == {1: ("a", 1, False), 2: ("b", 3, True), 3: ("b", 2, True), 4: ("b", 1, True), 5: (None, 2, False), 6: (None, 1, False)}
+    with pytest.raises(ValueError):
+        Q.checked_order(["a", "a"], ["a", "b"])
+
+
+def test_reconcile_and_pacing(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("y", 5)], "k string, n int")
+    b = spark.createDataFrame([("x", 3), ("z", 1)], "k string, n int")
+    assert {r.k: (r.side, r.matches) for r in Q.reconcile(a, b, "k", ["n"]).collect()} == {"x": ("both", True), "y": ("ours", False), "z": ("theirs", False)}
+    t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    df = spark.createDataFrame([("k", t(0), 1, 10.0, 5.0), ("k", t(0), 2, 10.0, 5.0), ("k", t(12), 3, 1.0, 2.9), ("k", t(12), 4, None, 1.0)], "k string, ts timestamp_ntz, id int, bid double, price double")
+    got = {r.id: (round(r.multiplier, 4), r.taken, r.spent) for r in Q.paced_replay(df, "k", "ts", "id", "bid", "price", 24.0).collect()}
+    assert got == {1: (1.0, True, 5.0), 2: (0.05, False, 5.0), 3: (3.0, True, 7.9), 4: (3.0, False, 7.9)}
