@@ -1,8 +1,8 @@
-"""Rules for untrusted text and for SQL that is to be run read-only."""
+"""Rules for untrusted text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rule names and their patterns.
@@ -13,11 +13,6 @@ RULES = {
     "exfiltration": r"(?i)\b(send|post|upload|forward)\b.{0,60}\b(password|secret|token|key|credentials?)\b",
     "system_prompt": r"(?i)\bsystem prompt\b",
 }
-# Plan nodes that only read, and functions that reach outside a query.
-READ_NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Join UnresolvedRelation SubqueryAlias Distinct Union Intersect Except OneRowRelation UnresolvedSubqueryColumnAliases UnresolvedWith WithCTE With Window Generate UnresolvedHaving LateralJoin UnresolvedInlineTable Offset Pivot UnresolvedHint Sample UnresolvedTableValuedFunction".split())
-DENIED = frozenset("reflect java_method try_reflect input_file_name read_files version current_user".split())
-
-
 def flags(text: Column) -> Column:
     """Names of the rules that a text breaks, in the order of the rules."""
     return F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in RULES.items()]))
@@ -38,31 +33,3 @@ def guard_text(df: DataFrame, row_id: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     opened = F.when(t.rlike(r"(?m)^[A-Za-z0-9+/]{16,}={0,2}$"), unwrap_base64(t)).otherwise(t)
     return df.select(row_id, flags(opened).alias("rules")).withColumn("blocked", F.size("rules") > 0)
-
-
-def sql_verdict(spark: SparkSession, sql: str, most: int = 10_000) -> tuple[str, str | None]:
-    """("allowed", statement with a bound on its rows) or (why not, None), by Spark's own parser.
-
-    One statement; only nodes that read; no denied functions; a limit is added, or lowered to `most`.
-    """
-    text = sql.strip().rstrip(";").strip()
-    if not text:
-        return "empty", None
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    except Exception:  # noqa: BLE001
-        return "not one valid statement", None
-    names, todo = set(), [plan]
-    while todo:
-        node = todo.pop()
-        names.add(node.nodeName())
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.size())]
-        inner = node.innerChildren()
-        todo += [k for i in range(inner.size()) if hasattr(k := inner.apply(i), "nodeName")]
-    if names - READ_NODES:
-        return "not read-only", None
-    tree = plan.toString().lower()
-    if any(f"'{f}(" in tree or f" {f}(" in tree or f"unresolvedfunction {f}" in tree for f in DENIED):
-        return "denied function", None
-    return "allowed", f"SELECT * FROM ({text}) AS bounded LIMIT {most}"

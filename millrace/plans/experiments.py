@@ -127,15 +127,7 @@ def guard_rates(s, d):
     return g.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked"))
 
 
-# Statements to audit, hostile ones first.
-STATEMENTS = ("DROP TABLE orders", "DELETE FROM orders", "UPDATE orders SET a = 1", "INSERT INTO orders VALUES (1)", "SELECT 1; DROP TABLE orders", "CREATE TABLE t AS SELECT 1 AS a", "ALTER TABLE orders ADD COLUMN x int", "TRUNCATE TABLE orders", "SELECT reflect('java.lang.System', 'exit', 0)", "SET spark.x=1", "SELECT count(*) FROM orders", "SELECT a, sum(b) AS s FROM t WHERE c > 1 GROUP BY a ORDER BY s DESC LIMIT 5", "WITH x AS (SELECT 1 AS a) SELECT * FROM x")
-
-
-def sql_guard_audit(s, d):
-    return s.createDataFrame([(q, *G.sql_verdict(s, q)) for q in STATEMENTS], "statement string, verdict string, bounded string")
-
-
-QUERIES = {f.__name__: f for f in (hash_sample, chronological_split, expanding_folds, rolling_folds, group_split, grouped_folds, monthly_cap, top_fraction, evenly_spaced, agg_join_features, missing_rates, vocabulary, encoded, uplift_effect, qini_curve, standardised_differences, uplift_segments, off_policy, cooccurrence, regression_injection, guard_rates, sql_guard_audit)}
+QUERIES = {f.__name__: f for f in (hash_sample, chronological_split, expanding_folds, rolling_folds, group_split, grouped_folds, monthly_cap, top_fraction, evenly_spaced, agg_join_features, missing_rates, vocabulary, encoded, uplift_effect, qini_curve, standardised_differences, uplift_segments, off_policy, cooccurrence, regression_injection, guard_rates)}
 
 _FRACTION = "CAST('0x' || substr(md5(CAST({} AS varchar)), 1, 8) AS bigint) / 4294967296.0"
 _T = "trial AS (SELECT c_custkey, c_mktsegment, c_nationkey, CAST(c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS integer) AS y, CAST('0x' || substr(md5(CAST(c_custkey AS varchar)), 1, 2) AS integer) % 2 AS t, c_acctbal AS score FROM customer)"

@@ -48,3 +48,36 @@ def write_report(row: DataFrame, path: str) -> None:
         f.flush()
         os.fsync(f.fileno())
     os.replace(f.name, path)
+
+
+def replace_table(spark: SparkSession, name: str, df: DataFrame, path: str) -> DataFrame:
+    """A table of the catalogue made anew from df, whatever was there under the name; its statistics are gathered."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.option("path", path).saveAsTable(name)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return spark.table(name)
+
+
+def statistics(spark: SparkSession, name: str, column: str) -> dict[str, str]:
+    """What the optimiser knows of a column: distinct values, NULLs, bounds."""
+    return {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {name} {column}").collect()}
+
+
+def insert_rows(spark: SparkSession, name: str, df: DataFrame) -> None:
+    """Rows added to a table by one write of many parts."""
+    df.write.insertInto(name)
+
+
+def append_once(df: DataFrame, path: str, key: str, schema: str) -> int:
+    """Rows whose key the JSON-lines file has not yet, appended; how many. A file cut in its last line is continued."""
+    from millrace.session import materialise
+    from millrace.sources.files import read_jsonl
+
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    fresh = materialise(df.join(read_jsonl(spark, path, schema).select(key), key, "left_anti") if there else df, "fresh")
+    n = fresh.count()
+    if n:
+        append_jsonl(fresh, path)
+    return n

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,57 @@ def read_route_instance(spark: SparkSession, path: str) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def read_columns(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
+    """Some columns of a delimited file: the parser skips the others."""
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"').select(*columns)
+
+
+def read_days(spark: SparkSession, folder: str, days: list[str]) -> DataFrame:
+    """The tables of several days as one, with the day as a column; a day without a folder is an error."""
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/day={d}" for d in days])
+
+
+def read_judgements(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(judgements with a positive grade, the queries that have one) of a tab-separated file: qid, doc, grade."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema="qid string, doc string, grade int").where(F.col("grade") > 0)
+    return rows, queries.join(rows.select("qid").distinct(), "qid", "left_semi")
+
+
+def read_truncated_bz2(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of the whole lines that a bzip2 file cut short still gives; a broken last line is left out.
+
+    A compressed member can only be read from its start, so a file is one task's stream; whole files are better read
+    by `spark.read.text`, which splits them.
+    """
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import bz2
+
+        for b in batches:
+            for name, blob in zip(b["path"], b["content"]):
+                unpack, text, data = bz2.BZ2Decompressor(), b"", blob
+                while data:
+                    text += unpack.decompress(data)
+                    data = unpack.unused_data if unpack.eof else b""
+                    unpack = bz2.BZ2Decompressor() if data else unpack
+                whole = text.decode("utf-8", "replace").split("\n")[:-1]
+                yield pd.DataFrame({"file": name, "line_no": range(1, len(whole) + 1), "line": whole})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no bigint, line string")
+
+
+def audit_log(log: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: lines, those with a wrong number of fields, and of the rest those that break each rule."""
+    broken = {n: F.col("sound") & ~F.coalesce(r, F.lit(False)) for n, r in rules.items()}
+    return log.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("sound")).alias("malformed"), *[F.count_if(b).alias(f"invalid_{n}") for n, b in broken.items()])
+
+
+def form_entities(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, links) of nested forms (document, form: id, label, text, box, linking): links from questions to answers of the document only."""
+    e = forms.select("document", F.explode("form").alias("e")).select("document", "e.*")
+    pairs = e.select("document", F.explode("linking").alias("l")).select("document", F.col("l")[0].alias("question"), F.col("l")[1].alias("answer")).distinct()
+    role = lambda label, name: e.where(F.col("label") == label).select("document", F.col("id").alias(name))
+    links = pairs.join(role("question", "question"), ["document", "question"], "left_semi").join(role("answer", "answer"), ["document", "answer"], "left_semi")
+    return e.drop("linking"), links
