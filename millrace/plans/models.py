@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import finance as N
+from millrace.operators import learners as L
+from millrace.operators import metrics as M
 from millrace.operators import models as D
 from millrace.operators import retrieval as R
 from millrace.plans.metrics import _S, GRID, scored
@@ -61,6 +63,78 @@ def route_check(s, d):
     return D.check_routes(x, 1.0, 12.0)
 
 
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _labelled(s, d):
+    return table(s, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+
+
+def boosted_scores(s, d):
+    """Boosted trees fitted on early lines, judged on late ones."""
+    x = _labelled(s, d).withColumn("late", F.col("l_orderkey") % 5 == 0)
+    model = L.fit_probability(x.where("not late"), FEATURES, "y", trees=5)
+    return M.log_loss_brier(L.probability(model, x.where("late"), FEATURES, "p"), "y", "p")
+
+
+def importance_shares(s, d):
+    share = L.importance_share(L.fit_probability(_labelled(s, d), FEATURES, "y", trees=3), FEATURES)
+    return s.createDataFrame(sorted(share.items()), "feature string, share double")
+
+
+def learned_ranking(s, d):
+    """Products ranked by trees on their gains, fitted on even queries and judged on odd ones."""
+    x = table(s, d, "shopping_queries_dataset_examples").where(F.col("query_id").isNotNull() & F.col("product_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    letter = F.upper(F.substring(F.trim("esci_label"), 1, 1))
+    per = x.groupBy(F.col("query_id").alias("qid"), F.col("product_id").alias("doc")).agg(F.max("score").alias("score"), F.avg("score").alias("mean"), F.count(F.lit(1)).cast("double").alias("chunks"), F.max(F.when(letter == "E", 3).when(letter == "S", 2).when(letter == "C", 1).otherwise(0)).alias("grade"))
+    model = L.fit_gains(per.where("qid % 2 = 0"), ["score", "mean", "chunks"], "grade", trees=3)
+    ranked = L.gain_scores(model, per.where("qid % 2 = 1"), ["score", "mean", "chunks"], "learned")
+    m = R.run_metrics(R.place(ranked.select("qid", "doc", F.col("learned").alias("score")), 10), ranked.select("qid", "doc", "grade"), 10)
+    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ndcg"), 4).alias("ndcg"))
+
+
+def uplift_learners(s, d):
+    """Mean uplift by four learners, by segment."""
+    from millrace.plans.experiments import _trial
+
+    u = L.uplift_scores(_trial(s, d), ["score", "c_nationkey"], "y", "t", ["c_custkey"])
+    return u.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in ("u_two", "u_one", "u_class", "u_x")])
+
+
+def scorecard_values(s, d):
+    """Weights of evidence fitted on early lines and looked up for late ones."""
+    x = _labelled(s, d)
+    card = L.fit_scorecard(x.where("l_orderkey % 5 <> 0"), ["l_quantity"], "y", 5)
+    late = card.transform(x.where("l_orderkey % 5 = 0"))
+    return late.groupBy(F.round("woe_l_quantity", 6).alias("woe")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def question_likeness(s, d):
+    """Cosine of words and word pairs of questions whose titles are alike in the alphabet's order."""
+    from pyspark.sql import Window
+
+    q = table(s, d, "qa_examples").where(F.col("question_id").isNotNull() & F.col("question").isNotNull() & F.col("title").isNotNull()).groupBy(F.col("question_id").alias("doc")).agg(F.min("question").alias("question"), F.min("title").alias("title"))
+    w = D.tfidf(q.select("doc", L.ngrams(R.tokens(F.col("question"))).alias("words")))
+    by_letter = Window.partitionBy(F.substring("title", 1, 2)).orderBy("title", "doc")
+    pairs = q.select(F.col("doc").alias("a"), F.lead("doc").over(by_letter).alias("b")).where(F.col("b").isNotNull())
+    return L.pair_cosine(w, pairs).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def greedy_routes(s, d):
+    """Orders of each customer as stops of an instance, at most five vehicles each."""
+    o = table(s, d, "orders")
+    x = o.select(F.col("o_custkey").alias("instance"), F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(97)).cast("double").alias("x"), F.pmod("o_orderkey", F.lit(89)).cast("double").alias("y"), F.lit(1.0).alias("demand"), F.lit(0.0).alias("ready"), (200 + F.pmod("o_orderkey", F.lit(400))).cast("double").alias("due"), F.lit(5.0).alias("service"))
+    r = L.greedy_routes(x, 6.0, 5, 900.0)
+    return r.groupBy("instance").agg(F.max("vehicle").alias("vehicles"), F.count(F.lit(1)).alias("served"), F.round(F.max("start"), 4).alias("last_start"))
+
+
+def nearest_assignments(s, d):
+    """Customers and suppliers of a nation as riders and orders."""
+    at = lambda k: [F.col(f"{k}key").alias("id"), F.pmod(F.col(f"{k}key") * 37, F.lit(101)).cast("double").alias("x"), F.pmod(F.col(f"{k}key") * 53, F.lit(103)).cast("double").alias("y")]
+    riders = table(s, d, "supplier").select(F.col("s_nationkey").alias("zone"), *at("s_supp"))
+    return L.nearest_assignments(riders, table(s, d, "customer").select(F.col("c_nationkey").alias("zone"), *at("c_cust"))).select("zone", "rider", "order", F.round("distance", 6).alias("distance"))
+
+
 def failure_causes(s, d):
     """Questions of vectors: whether a vector of the same label is among the first three, and whether the first one is."""
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
@@ -76,9 +150,17 @@ def proportion_gap(s, d):
     return g.select(F.round(diff, 6).alias("difference"), F.round(lo, 6).alias("lower"), F.round(hi, 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, tfidf_documents, signed_ranks, tune_scale, cutoff_curve, route_check, failure_causes, proportion_gap)}
+QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, tfidf_documents, signed_ranks, tune_scale, cutoff_curve, route_check, boosted_scores, importance_shares, learned_ranking, uplift_learners, scorecard_values, question_likeness, greedy_routes, nearest_assignments, failure_causes, proportion_gap)}
 
 SQL = {
+    "scorecard_values": """WITH x AS (SELECT l_quantity AS v, CAST(l_returnflag = 'R' AS integer) AS y, l_orderkey % 5 = 0 AS late FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.2, 0.4, 0.6, 0.8]))) AS e FROM x WHERE NOT late),
+      b AS (SELECT y, late, len(list_filter(e, lambda t: v > t)) AS bin FROM x, e), g AS (SELECT bin, count(*) AS n, sum(y) AS bad FROM b WHERE NOT late GROUP BY 1),
+      w AS (SELECT bin, ln(((n - bad + 0.5) / (sum(n - bad) OVER () + 0.5)) / ((bad + 0.5) / (sum(bad) OVER () + 0.5))) AS woe FROM g) SELECT round(coalesce(woe, 0), 6) AS woe, count(*) AS n FROM b LEFT JOIN w USING (bin) WHERE late GROUP BY 1""",
+    "question_likeness": r"""WITH q AS (SELECT question_id AS doc, min(question) AS question, min(title) AS title FROM qa_examples WHERE question_id IS NOT NULL AND question IS NOT NULL AND title IS NOT NULL GROUP BY 1),
+      t AS (SELECT doc, title, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM q), g AS (SELECT doc, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS word FROM t),
+      tf AS (SELECT doc, word, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc, word, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM q)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (word)),
+      wt AS (SELECT doc, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw), p AS (SELECT doc AS a, lead(doc) OVER (PARTITION BY substr(title, 1, 2) ORDER BY title, doc) AS b FROM q),
+      m AS (SELECT a, b, sum(x.w * y.w) AS c FROM p JOIN wt x ON x.doc = a JOIN wt y ON y.doc = b AND y.word = x.word GROUP BY 1, 2) SELECT p.a, p.b, round(coalesce(c, 0), 6) AS cosine FROM p LEFT JOIN m USING (a, b) WHERE p.b IS NOT NULL""",
     "woe_bins": """WITH g AS (SELECT CAST(ceil(l_quantity / 10) AS integer) AS bin, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1),
       s AS (SELECT *, (bad + 0.5) / (sum(bad) OVER () + 0.5) AS b, (n - bad + 0.5) / (sum(n - bad) OVER () + 0.5) AS g FROM g) SELECT bin, n, bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv FROM s""",
     "score_points": f"WITH {_S} SELECT l_orderkey, l_linenumber, round(600 - 20 / ln(2) * ln(50) + 20 / ln(2) * ln((1 - p) / p), 4) AS points FROM x WHERE p > 0 AND p < 1",

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,20 +135,20 @@ def read_truncated_bz2(spark: SparkSession, path: str) -> DataFrame:
     by `spark.read.text`, which splits them.
     """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import bz2
 
         for b in batches:
-            for name, blob in zip(b["path"], b["content"]):
+            for name, blob in zip(b["path"].to_pylist(), b["content"].to_pylist()):
                 unpack, text, data = bz2.BZ2Decompressor(), b"", blob
                 while data:
                     text += unpack.decompress(data)
                     data = unpack.unused_data if unpack.eof else b""
                     unpack = bz2.BZ2Decompressor() if data else unpack
                 whole = text.decode("utf-8", "replace").split("\n")[:-1]
-                yield pd.DataFrame({"file": name, "line_no": range(1, len(whole) + 1), "line": whole})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(whole), pa.string()), pa.array(range(1, len(whole) + 1), pa.int64()), pa.array(whole, pa.string())], names=["file", "line_no", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no bigint, line string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "file string, line_no bigint, line string")
 
 
 def audit_log(log: DataFrame, rules: dict[str, Column]) -> DataFrame:
