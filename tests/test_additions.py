@@ -161,11 +161,11 @@ def test_learners(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    text = "".join(f"line {i} {random.Random(i).random()}\n" for i in range(20_000)).encode()
+    text = "".join(f"line {i} {random.Random(i).random()}\n" for i in range(60_000)).encode()
     (tmp_path / "cut.bz2").write_bytes(bz2.compress(text)[:-9000])
     (tmp_path / "whole.bz2").write_bytes(bz2.compress(text[:5000]) + bz2.compress(text[5000:9000]))
     n = {r.file.rsplit("/", 1)[1]: (r.n, r.last) for r in files.read_truncated_bz2(spark, str(tmp_path / "*.bz2")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max_by("line", "line_no").alias("last")).collect()}
-    assert n["whole.bz2"][0] == text[:9000].count(b"\n") and (n["cut.bz2"][0] == 0 or n["cut.bz2"][1].encode() == text.split(b"\n")[n["cut.bz2"][0] - 1])
+    assert n["whole.bz2"][0] == text[:9000].count(b"\n") and 20_000 < n["cut.bz2"][0] < 60_000 and n["cut.bz2"][1].encode() == text.split(b"\n")[n["cut.bz2"][0] - 1]
     path = str(tmp_path / "log.jsonl")
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     assert [sinks.append_once(df.where(f"k <= {n}"), path, "k", "k int, v string") for n in (2, 3, 3)] == [2, 1, 0]
