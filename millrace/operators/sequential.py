@@ -273,3 +273,58 @@ def reservations(df: DataFrame, key: str, order: list[str], row_id: str, cost: s
     """(row_id, granted, reserved): a running reservation before each call; one that would pass the limit is refused and takes nothing."""
     taken = budget_replay(df.select(key, *order, F.col(cost).cast("double").alias(cost), *([row_id] if row_id not in order else [])), key, order, cost, limit)
     return taken.select(row_id, F.col("taken").alias("granted"), F.col("spent").alias("reserved"))
+
+
+def state_machine(df: DataFrame, key: str, order: list[str], row_id: str, event: str, moves: dict[tuple[str, str], str], start: str, most_steps: int, costs: tuple[str, float] | None = None, halted: str = "HALTED") -> DataFrame:
+    """(row_id, state, accepted, steps): the state of each key after each event.
+
+    moves: (state, event) to the next state; any other event is refused and changes nothing. A key that has taken
+    `most_steps` steps, or whose accepted costs (column, ceiling) would pass their ceiling, halts for good.
+    """
+
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        at, steps, spent = state
+        to = moves.get((at, row[event]))
+        if at == halted or to is None:
+            return state, (at, False, steps)
+        price = float(row[costs[0]] or 0.0) if costs else 0.0
+        if steps >= most_steps or (costs and spent + price > costs[1] + 1e-9):
+            return (halted, steps, spent), (halted, False, steps)
+        return (to, steps + 1, spent + price), (to, True, steps + 1)
+
+    extra = [costs[0]] if costs else []
+    rows = df.select(key, *order, *[c for c in (row_id, event, *extra) if c not in order])
+    return fold_in_order(rows, [key], order, lambda: (start, 0, 0.0), step, "state string, accepted boolean, steps bigint").select(row_id, "state", "accepted", "steps")
+
+
+def compare_and_swap(df: DataFrame, key: str, order: list[str], row_id: str, expected: str, command: str) -> DataFrame:
+    """(row_id, outcome, revision): writes that name the revision they saw.
+
+    stored: it is the current one, which goes up by one; repeated: the same command was stored before, nothing happens
+    (so a retry is harmless); conflict: any other.
+    """
+
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        revision, done = state
+        if row[command] in done:
+            return state, ("repeated", revision)
+        if row[expected] != revision:
+            return state, ("conflict", revision)
+        return (revision + 1, done | {row[command]}), ("stored", revision + 1)
+
+    rows = df.select(key, *order, *[c for c in (row_id, expected, command) if c not in order])
+    return fold_in_order(rows, [key], order, lambda: (0, frozenset()), step, "outcome string, revision bigint").select(row_id, "outcome", "revision")
+
+
+def single_use(uses: DataFrame, tickets: DataFrame, order: list[str]) -> DataFrame:
+    """uses with valid: a ticket counts once, for the exact action that it was issued for, and not before it was issued.
+
+    uses: ticket, action, and the columns of order, the first a time; tickets: ticket (unique), action, issued. Of the
+    uses that fit, the first in order takes the ticket.
+    """
+    from pyspark.sql import Window
+
+    t = tickets.select("ticket", F.col("action").alias("_action"), F.col("issued").alias("_issued"))
+    met = uses.join(t, "ticket", "left").withColumn("_fits", F.coalesce((F.col("action") == F.col("_action")) & (F.col(order[0]) >= F.col("_issued")), F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("ticket", "_fits").orderBy(*order))
+    return met.withColumn("valid", F.col("_fits") & (first == 1)).drop("_action", "_issued", "_fits")

@@ -135,11 +135,17 @@ def nearest_assignments(s, d):
     return L.nearest_assignments(riders, table(s, d, "customer").select(F.col("c_nationkey").alias("zone"), *at("c_cust"))).select("zone", "rider", "order", F.round("distance", 6).alias("distance"))
 
 
+def mock_usage(s, d):
+    """Tokens and cost of documents as prompts of a mock provider that answers with sixteen tokens, by type."""
+    t = table(s, d, "documents").where(F.col("text").isNotNull()).withColumn("tokens", N.mock_tokens(F.col("text")))
+    return t.groupBy("doc_type").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(N.token_cost(F.col("tokens"), F.lit(16), 0.5, 1.5)), 6).alias("cost"))
+
+
 def failure_causes(s, d):
     """Questions of vectors: whether a vector of the same label is among the first three, and whether the first one is."""
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
     q = v.where(F.col("doc") % 50 == 0).select(F.col("doc").alias("qid"), F.col("label").alias("ql"))
-    r = dense_run(s, d).join(v, "doc").join(F.broadcast(q), "qid")
+    r = dense_run(s, d).join(v, "doc").join(q, "qid")
     rows = r.groupBy("qid").agg(F.max((F.col("place") <= 3) & (F.col("label") == F.col("ql"))).alias("found"), F.max((F.col("place") == 1) & (F.col("label") == F.col("ql"))).alias("right"))
     return D.routing_rates(rows)
 
@@ -150,9 +156,10 @@ def proportion_gap(s, d):
     return g.select(F.round(diff, 6).alias("difference"), F.round(lo, 6).alias("lower"), F.round(hi, 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, tfidf_documents, signed_ranks, tune_scale, cutoff_curve, route_check, boosted_scores, importance_shares, learned_ranking, uplift_learners, scorecard_values, question_likeness, greedy_routes, nearest_assignments, failure_causes, proportion_gap)}
+QUERIES = {f.__name__: f for f in (woe_bins, score_points, platt_scaled, isotonic_scaled, tfidf_items, tfidf_documents, signed_ranks, tune_scale, cutoff_curve, route_check, boosted_scores, importance_shares, learned_ranking, uplift_learners, scorecard_values, question_likeness, greedy_routes, nearest_assignments, mock_usage, failure_causes, proportion_gap)}
 
 SQL = {
+    "mock_usage": "SELECT doc_type, CAST(sum(ceil(length(text) / 4.0)) AS bigint) AS tokens, round(sum((ceil(length(text) / 4.0) * 0.5 + 16 * 1.5) / 1000000), 6) AS cost FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "scorecard_values": """WITH x AS (SELECT l_quantity AS v, CAST(l_returnflag = 'R' AS integer) AS y, l_orderkey % 5 = 0 AS late FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.2, 0.4, 0.6, 0.8]))) AS e FROM x WHERE NOT late),
       b AS (SELECT y, late, len(list_filter(e, lambda t: v > t)) AS bin FROM x, e), g AS (SELECT bin, count(*) AS n, sum(y) AS bad FROM b WHERE NOT late GROUP BY 1),
       w AS (SELECT bin, ln(((n - bad + 0.5) / (sum(n - bad) OVER () + 0.5)) / ((bad + 0.5) / (sum(bad) OVER () + 0.5))) AS woe FROM g) SELECT round(coalesce(woe, 0), 6) AS woe, count(*) AS n FROM b LEFT JOIN w USING (bin) WHERE late GROUP BY 1""",

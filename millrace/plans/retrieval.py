@@ -63,7 +63,7 @@ def _lexical_like(s, d):
     """A second run over the vectors: by distance of labels, then ids."""
     v = _vectors(s, d)
     q = v.where(F.col("doc") % 50 == 0).select(F.col("doc").alias("qid"), F.col("label").alias("qlabel"))
-    j = v.select("doc", "label").join(F.broadcast(q), F.col("label") == F.col("qlabel")).where("qid <> doc")
+    j = v.select("doc", "label").join(q, F.col("label") == F.col("qlabel")).where("qid <> doc")
     return R.place(j.select("qid", "doc", F.lit(1.0).alias("score")), 10)
 
 
@@ -79,7 +79,7 @@ def rerank_run(s, d):
 def _judged(s, d):
     v = _vectors(s, d)
     q = v.where(F.col("doc") % 50 == 0).select(F.col("doc").alias("qid"), F.col("label").alias("ql"))
-    j = v.select("doc", "label").join(F.broadcast(q), F.col("label") == F.col("ql")).where("qid <> doc")
+    j = v.select("doc", "label").join(q, F.col("label") == F.col("ql")).where("qid <> doc")
     return j.select("qid", "doc", (1 + F.col("doc") % 3).cast("int").alias("grade"))
 
 

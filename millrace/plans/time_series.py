@@ -175,6 +175,32 @@ def spend_reservations(s, d):
     return Q.reservations(e, "user_id", ["ts", "event_id"], "event_id", "bytes", 300.0)
 
 
+# The moves of a customer's path.
+MOVES = {("NEW", "view"): "SEEN", ("SEEN", "view"): "SEEN", ("SEEN", "click"): "WARM", ("WARM", "view"): "SEEN", ("WARM", "signup"): "MEMBER", ("MEMBER", "view"): "MEMBER", ("MEMBER", "purchase"): "BUYER", ("BUYER", "error"): "NEW"}
+
+
+def customer_paths(s, d):
+    return Q.state_machine(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", "event_type", MOVES, "NEW", 12)
+
+
+def revision_writes(s, d):
+    """Events as writes to their user's record: every tenth knows a wrong revision, every fifth is a retry."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").withColumn("k", F.row_number().over(w) - 1)
+    x = e.select("user_id", "ts", "event_id", (F.col("k") - F.floor((F.col("k") + 4) / 5)).alias("expected"), F.when(F.col("k") % 5 == 0, F.lit("first")).otherwise(F.col("event_id").cast("string")).alias("command"))
+    return Q.compare_and_swap(x, "user_id", ["ts", "event_id"], "event_id", "expected", "command").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ticket_uses(s, d):
+    """Purchases use the ticket of their user's hash for their type of day; a ticket is issued for one action."""
+    e = table(s, d, "events")
+    uses = e.where(F.col("event_type") == "purchase").select("event_id", "ts", F.col("user_id").alias("ticket"), F.when(F.dayofmonth("ts") % 2 == 0, "even").otherwise("odd").alias("action"))
+    tickets = e.where(F.col("event_type") == "signup").groupBy(F.col("user_id").alias("ticket")).agg(F.min("ts").alias("issued")).withColumn("action", F.when(F.col("ticket") % 2 == 0, "even").otherwise("odd"))
+    return Q.single_use(uses, tickets, ["ts", "event_id"]).select("event_id", "valid")
+
+
 def hourly_spend(s, d):
     """Running spend by hour, over one row per hour."""
     h = table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n"))
@@ -189,7 +215,7 @@ def win_curve(s, d):
     return e.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-QUERIES = {f.__name__: f for f in (pit_as_of, revision_delta, bitemporal_load, overwrite_baseline, view_before_purchase, lag_features, intermittency, panel_filled, momentum_weights, momentum_backtest, return_summary, token_bucket, circuit_breaker, budget_replay, cache_replay, cache_invalidation, cache_savings, waiting_queue, failover, usage_ledger, paced_replay, spend_reservations, hourly_spend, win_curve)}
+QUERIES = {f.__name__: f for f in (pit_as_of, revision_delta, bitemporal_load, overwrite_baseline, view_before_purchase, lag_features, intermittency, panel_filled, momentum_weights, momentum_backtest, return_summary, token_bucket, circuit_breaker, budget_replay, cache_replay, cache_invalidation, cache_savings, waiting_queue, failover, usage_ledger, paced_replay, spend_reservations, customer_paths, revision_writes, ticket_uses, hourly_spend, win_curve)}
 
 _TWO = f"""WITH {_HISTORY}, back AS (SELECT *, max(seq) OVER (PARTITION BY corp_code, report_year, report_code) - seq AS back FROM marks),
 two AS (SELECT s.*, b.back FROM stated s JOIN back b USING (corp_code, report_year, report_code, receipt_no) WHERE back < 2),
@@ -233,6 +259,15 @@ SQL = {
       b AS (SELECT o_custkey, CAST(count(*) AS bigint) AS n_theirs, CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS decimal(28,2)) AS cost_theirs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1)
       SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'ours' WHEN a.o_custkey IS NULL THEN 'theirs' ELSE 'both' END AS side, n_ours, n_theirs, cost_ours, cost_theirs,
       coalesce(a.o_custkey = b.o_custkey AND n_ours = n_theirs AND cost_ours = cost_theirs, false) AS matches FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
+    "customer_paths": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in MOVES.items())}) t(src, ev, nxt)),
+      f AS (SELECT user_id, CAST(NULL AS bigint) AS event_id, CAST(0 AS bigint) AS k, 'NEW' AS state, false AS accepted, CAST(0 AS bigint) AS steps FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN nxt IS NULL THEN f.state WHEN f.steps >= 12 THEN 'HALTED' ELSE nxt END, nxt IS NOT NULL AND f.steps < 12, f.steps + CAST(nxt IS NOT NULL AND f.steps < 12 AS integer)
+          FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1 LEFT JOIN m ON m.src = f.state AND m.ev = e.event_type)
+      SELECT event_id, state, accepted, steps FROM f WHERE k > 0""",
+    "ticket_uses": """WITH t AS (SELECT user_id AS ticket, min(ts) AS issued FROM events WHERE event_type = 'signup' GROUP BY 1), u AS (SELECT event_id, ts, user_id AS ticket, CASE WHEN day(ts) % 2 = 0 THEN 'even' ELSE 'odd' END AS action FROM events WHERE event_type = 'purchase'),
+      m AS (SELECT u.*, coalesce(ts >= issued AND action = CASE WHEN u.ticket % 2 = 0 THEN 'even' ELSE 'odd' END, false) AS fits FROM u LEFT JOIN t USING (ticket))
+      SELECT event_id, fits AND row_number() OVER (PARTITION BY ticket, fits ORDER BY ts, event_id) = 1 AS valid FROM m""",
     "token_bucket": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
       f AS (SELECT user_id, event_id, s, k, CAST(1 AS double) AS tokens, true AS allowed FROM e WHERE k = 1
         UNION ALL SELECT e.user_id, e.event_id, e.s, e.k, least(2.0, f.tokens + (e.s - f.s) / 21600) - CAST(least(2.0, f.tokens + (e.s - f.s) / 21600) >= 1 - 1e-9 AS integer), least(2.0, f.tokens + (e.s - f.s) / 21600) >= 1 - 1e-9 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)

@@ -32,11 +32,6 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """A managed table whose joins on the key need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-
-
 def write_report(row: DataFrame, path: str) -> None:
     """A report of one row as a JSON file that appears whole or not at all."""
     got = row.limit(2).collect()

@@ -27,14 +27,6 @@ def read_log(spark: SparkSession, path: str, fields: list[str], sep: str = "\t")
     return parts.select(*[F.try_element_at("p", F.lit(i + 1)).alias(f) for i, f in enumerate(fields)], (F.size("p") == len(fields)).alias("sound"))
 
 
-def audit_order(df: DataFrame, part: str, ts: str) -> DataFrame:
-    """(part, n, out_of_order): rows whose time is before the latest one so far is what a partition's order hides; here, per part, rows below the running maximum in row order of `row_no`."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(part).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_top", F.max(ts).over(w)).groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ts) < F.col("_top")).alias("out_of_order"))
-
-
 def read_prefix(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """The first rows of each Parquet file, by place in the file."""
     return spark.read.parquet(path).where(F.col("_metadata.row_index") < rows)

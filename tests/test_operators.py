@@ -299,3 +299,17 @@ def test_contracts(spark):
     df = spark.createDataFrame([({"d1": [("B",), ("A",)], "d2": [("A",), (None,)]},), (None,)], "m map<string,array<struct<label:string>>>")
     assert [r[0] for r in df.select(C.labels_of(F.col("m"))).collect()] == [["A", "B"], []]
     assert one(spark, C.term_score(F.col("x"), ["java", "sql"], 40, 15, 60), "Java, SQL, javascript") == 60 and one(spark, C.term_score(F.col("x"), ["java"], 40, 15, 60), "javascript") == 40
+
+
+def test_machine_swaps_and_tickets(spark):
+    t = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    moves = {("A", "go"): "B", ("B", "go"): "A"}
+    df = spark.createDataFrame([("k", i, e, c) for i, (e, c) in enumerate([("go", 1.0), ("no", 1.0), ("go", 5.0), ("go", 9.0), ("go", 0.0)])], "k string, id int, e string, c double")
+    run = lambda **x: [(r.state, r.accepted, r.steps) for r in Q.state_machine(df, "k", ["id"], "id", "e", moves, "A", **x).orderBy("id").collect()]
+    assert run(most_steps=2) == [("B", True, 1), ("B", False, 1), ("A", True, 2), ("HALTED", False, 2), ("HALTED", False, 2)]
+    assert run(most_steps=9, costs=("c", 10.0)) == [("B", True, 1), ("B", False, 1), ("A", True, 2), ("HALTED", False, 2), ("HALTED", False, 2)]
+    w = spark.createDataFrame([("k", 1, 0, "a"), ("k", 2, 0, "b"), ("k", 3, 0, "a"), ("k", 4, 1, "b"), ("k", 5, None, "c")], "k string, id int, seen bigint, cmd string")
+    assert [(r.outcome, r.revision) for r in Q.compare_and_swap(w, "k", ["id"], "id", "seen", "cmd").orderBy("id").collect()] == [("stored", 1), ("conflict", 1), ("repeated", 1), ("stored", 2), ("conflict", 2)]
+    tickets = spark.createDataFrame([("x", "send 5", t(2))], "ticket string, action string, issued timestamp_ntz")
+    uses = spark.createDataFrame([(1, t(1), "x", "send 5"), (2, t(3), "x", "send 6"), (3, t(4), "x", "send 5"), (4, t(5), "x", "send 5"), (5, t(5), None, "send 5")], "id int, ts timestamp_ntz, ticket string, action string")
+    assert [r.valid for r in Q.single_use(uses, tickets, ["ts", "id"]).orderBy("id").collect()] == [False, False, True, False, False]
