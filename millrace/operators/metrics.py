@@ -112,15 +112,16 @@ def quantiles_from(counts: DataFrame, cols: list[str], n: str, probs: list[float
 
     A quantile's two neighbours are the first values whose running count passes their places.
     """
-    cum = with_running_sums(counts.where(F.col("v").isNotNull() & (F.col(n) > 0)), [F.col("k").asc(), F.col("v").asc()], {"c": F.col(n)})
-    ends = {r["k"]: r["c"] for r in cum.groupBy("k").agg(F.max("c").alias("c")).collect()}  # one row per column
+    known = counts.where(F.col("v").isNotNull() & (F.col(n) > 0))
+    totals = {r["k"]: r["t"] for r in known.groupBy("k").agg(F.sum(n).alias("t")).collect()}  # one row per column
     places, before = {}, 0
-    for k in sorted(ends):
-        places[k] = [before + (ends[k] - before - 1) * q for q in probs]
-        before = ends[k]
+    for k in sorted(totals):
+        places[k] = [before + (totals[k] - 1) * q for q in probs]
+        before += totals[k]
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if not places:
         return out
+    cum = with_running_sums(known, [F.col("k").asc(), F.col("v").asc()], {"c": F.col(n)})
     picks = cum.agg(*[F.min(F.when((F.col("k") == k) & (F.col("c") > at), F.col("v"))) for k, hs in places.items() for h in hs for at in (math.floor(h), math.ceil(h))]).first()
     it = iter(picks)
     for k, hs in places.items():
@@ -130,7 +131,7 @@ def quantiles_from(counts: DataFrame, cols: list[str], n: str, probs: list[float
 
 def quantiles_of(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns with linear interpolation, NULL and NaN left out."""
-    return quantiles_from(value_counts(df, cols, {"n": F.lit(True)}), cols, "n", probs)
+    return quantiles_from(materialise(value_counts(df, cols, {"n": F.lit(True)}), "counts"), cols, "n", probs)
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
