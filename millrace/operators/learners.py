@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,8 @@ from millrace.operators.models import weight_of_evidence
 from millrace.operators.splits import balanced_sample
 
 SEED = 7
+#: Pairs of a zone that are held at once where riders meet orders.
+ASSIGN_PAIRS = 1 << 21
 
 
 def _ready(df: DataFrame, features: list[str]) -> DataFrame:
@@ -179,28 +183,69 @@ def greedy_routes(stops: DataFrame, capacity: float, vehicles: int, horizon: flo
 def nearest_assignments(riders: DataFrame, orders: DataFrame) -> DataFrame:
     """(zone, rider, order, distance): within each zone the closest pair left is joined, until one side is used up.
 
-    Both sides: zone, id, x, y. Ties go to the smaller rider, then order. A zone is one task's work.
+    Both sides: zone, id, x, y. Ties go to the smaller rider, then order. A zone is one task's work: distances are
+    computed for one item at a time, and no more than ASSIGN_PAIRS pairs, or one for each item, are held.
     """
 
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("id").reset_index(drop=True), right.sort_values("id").reset_index(drop=True)
-        if left.empty or right.empty:
-            return pd.DataFrame([], columns=["zone", "rider", "order", "distance"])
-        d = np.hypot(left["x"].to_numpy()[:, None] - right["x"].to_numpy()[None, :], left["y"].to_numpy()[:, None] - right["y"].to_numpy()[None, :])
-        used_l, used_r, out = np.zeros(len(left), bool), np.zeros(len(right), bool), []
-        for at in np.argsort(d, axis=None, kind="stable").tolist():
-            i, j = divmod(at, len(right))
-            if not used_l[i] and not used_r[j]:
-                used_l[i] = used_r[j] = True
-                out.append((key[0], int(left["id"][i]), int(right["id"][j]), float(d[i, j])))
-                if len(out) == min(len(left), len(right)):
-                    break
-        return pd.DataFrame(out, columns=["zone", "rider", "order", "distance"])
+        pairs = [(key[0], int(left["id"][i]), int(right["id"][j]), d) for i, j, d in _closest_pairs(*(t[c].to_numpy(np.float64) for t in (left, right) for c in ("x", "y")))]
+        return pd.DataFrame(pairs, columns=["zone", "rider", "order", "distance"])
 
     kind = dict(riders.dtypes)["zone"]
     return riders.groupBy("zone").cogroup(orders.groupBy("zone")).applyInPandas(match, f"zone {kind}, rider bigint, order bigint, distance double")
 
 
+def _closest_pairs(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> list[tuple[int, int, float]]:
+    """(left, right, distance) by place, in the order in which they are joined: the least distance, left, right of what is left.
+
+    Each item of the smaller side has a list of its nearest of the other side; a heap holds the first of each list
+    that is free. A list that is used up is made anew from what is free. NaN is beyond all distances.
+    """
+    turned = len(lx) > len(rx)
+    ax, ay, bx, by = (rx, ry, lx, ly) if turned else (lx, ly, rx, ry)
+    free, taken = np.arange(len(bx)), np.zeros(len(bx), bool)
+
+    def nearest(a: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distances' bits, which order as distances do, and the places of what is nearest; ties by place."""
+        nonlocal free
+        if 2 * (len(bx) - len(out)) <= len(free):
+            free = free[~taken[free]]
+        d = np.abs(np.hypot(ax[a] - bx[free], ay[a] - by[free]))
+        d[np.isnan(d)] = np.nan
+        d = d.view(np.int64)
+        d[taken[free]] = np.iinfo(np.int64).max
+        at, size = np.arange(len(d)), max(1, ASSIGN_PAIRS // (len(ax) - len(out)))
+        if size < len(d):
+            last = np.partition(d, size - 1)[size - 1]
+            under = np.flatnonzero(d < last)
+            at = np.concatenate([under, np.flatnonzero(d == last)[: size - len(under)]])
+        at = at[np.argsort(d[at], kind="stable")]
+        return d[at], free[at]
+
+    def entries(a: int) -> Iterator[tuple[int, int, int]]:
+        while True:
+            for k, b in zip(*nearest(a)):
+                if not taken[b]:
+                    yield (int(k), int(b), a) if turned else (int(k), a, int(b))
+
+    out: list[tuple[int, int, float]] = []
+    lists = [entries(a) for a in range(len(ax) if len(bx) else 0)]
+    heap = [next(x) for x in lists]
+    heapq.heapify(heap)
+    while heap:
+        k, i, j = heap[0]
+        a, b = (j, i) if turned else (i, j)
+        if taken[b]:
+            heapq.heapreplace(heap, next(lists[a]))
+            continue
+        heapq.heappop(heap)
+        taken[b] = True
+        lists[a].close()
+        out.append((i, j, float(np.int64(k).view(np.float64))))
+    return out
+
+
 def scoring_latency(model, df: DataFrame, features: list[str], singles: int = 20) -> dict[str, float]:
     """Milliseconds a row in one batch, and the median and 95 % point of single rows: a harness, not a query."""
     n = df.count()

@@ -2,9 +2,11 @@
 
 import bz2
 import random
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,32 @@ def test_routes_and_assignments(spark):
     assert got == want
 
 
+def test_assignments_hold_few_pairs(monkeypatch):
+    class Side:
+        dtypes = [("zone", "string")]
+        groupBy = cogroup = lambda self, x: self
+        applyInPandas = lambda self, f, schema: f
+
+    match, rng = L.nearest_assignments(Side(), Side()), np.random.default_rng(6)
+    side = lambda n: pd.DataFrame({"zone": "z", "id": rng.permutation(n) + 5, "x": rng.integers(0, 30, n) / 1.0, "y": rng.integers(0, 30, n) / 1.0})
+    riders, orders = side(400), side(20_000)
+    tracemalloc.start()
+    got = match(("z",), riders, orders)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 400 and got["order"].is_unique and peak < 100 << 20  # 64 MB for each copy of all distances
+    for a, b in ((riders[:60], orders[:90]), (orders[:90], riders[:60]), (riders[:9], riders[:0])):
+        left, right, want = list(a.itertuples()), list(b.itertuples()), []
+        while left and right:
+            d, _, _, r, o = min((float(np.hypot(r.x - o.x, r.y - o.y)), r.id, o.id, r, o) for r in left for o in right)
+            want.append(("z", r.id, o.id, d))
+            left.remove(r)
+            right.remove(o)
+        for pairs in (1, 300, 1 << 21):  # lists of one item, of a few, of all
+            monkeypatch.setattr(L, "ASSIGN_PAIRS", pairs, raising=False)
+            assert list(match(("z",), a, b).itertuples(index=False, name=None)) == want
+
+
 def test_learners(spark):
     rng = random.Random(7)
     rows = []
