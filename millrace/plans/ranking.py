@@ -10,6 +10,7 @@ from millrace.plans.experiments import _trial, off_policy, qini_curve
 from millrace.plans.metrics import scored
 from millrace.plans.retrieval import _DOCS, _TOKENS, _docs, _vectors, dense_run, _words
 from millrace.plans.time_series import win_curve
+from millrace.session import materialise
 from millrace.sources.tables import table
 
 
@@ -27,7 +28,7 @@ def _questions(s, d):
 
 def worked_examples(s, d):
     """Three worked examples for every question whose hash is divisible by 50, from all questions."""
-    q = _questions(s, d)
+    q = materialise(_questions(s, d), "questions")
     asked = q.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 50 == 0)
     return R.examples_for(q, asked, 3).select("qid", "doc", F.round("score", 6).alias("score"), "place")
 

@@ -2,11 +2,13 @@
 
 import bz2
 import random
+import time
 import tracemalloc
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,39 @@ def test_examples_leave_out_the_question(spark):
     assert ("a", "b") not in got and ("a", "c") in got and not any(k == "d" for k, _ in got)
 
 
+def test_examples_list_no_pairs(spark):
+    rng = random.Random(8)
+    q = materialise(spark.createDataFrame([(i, f"what is the {rng.choice('abcdefgh')} of {rng.randrange(900)}") for i in range(1500)], "id bigint, text string"), "test")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = R.examples_for(q, q, 3).collect()
+    time.sleep(1)  # for the listener
+    assert len(got) == 4500 and written() - before < 2 << 20  # 2.2 million pairs share a word
+
+
+@pytest.mark.parametrize(("common", "lead", "held"), [(16, 100, 1 << 20), (2, 0, 1 << 20), (64, 2, 2000), (64, 0, 0)])
+def test_examples_of_a_part(monkeypatch, common, lead, held):
+    for name, value in {"COMMON": common, "LEAD": lead, "PART_BYTES": held}.items():
+        monkeypatch.setattr(R, name, value)
+    rng = random.Random(common + lead)
+    for n, kinds in ((1, 2), (40, 3), (150, 12), (150, 400)):
+        words = [[f"w{int(kinds * rng.random() ** 2)}" for _ in range(rng.choice([0, 2, 4, 9]))] for _ in range(n)]
+        words += words[: n // 3]  # the same texts again
+        idf = {w: rng.choice([2.5, 1.0, 0.0, -0.5]) for w in {w for ws in words for w in ws if w != "w1"}}  # w1 is in no question
+        texts, asks = [" ".join(ws) for ws in words], [k for k in range(len(words)) if words[k]]
+        asked = R._Asked(asks, [texts[k] for k in asks], [words[k] for k in asks], idf)
+        part = pa.RecordBatch.from_pydict({"doc": list(range(len(words))), "same": texts, "words": words}, pa.schema({"doc": pa.int64(), "same": pa.string(), "words": pa.list_(pa.string())}))
+        q, row, score = R._first_matches(part, asked, 3.0, 3, 1.5, 0.75, np.full(len(asks), -np.inf))
+        got, want = [(asks[k], int(r), round(float(x), 6)) for k, r, x in zip(q, row, score)], []
+        for k in asks:
+            found = []
+            for d, ws in enumerate(words):
+                if texts[d] != texts[k] and any(w in idf and w in ws for w in words[k]):
+                    found.append((-round(sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / 3)) for w in words[k] if w in idf), 9), d))
+            want += [(k, d, round(-x, 6)) for x, d in sorted(found)[:3]]
+        assert sorted(got, key=lambda x: x[0]) == want
+
+
 def test_curve_area_and_fit(spark):
     c = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "n double, q double")
     a = P.curve_area(c, "n", "q").first()
